@@ -10,13 +10,14 @@ exceeds x with probability 1 - exp(-K n exp(-lambda x)); segments that are
 unlikely by this are toxic passages, and the sum of their surprises, through a
 logistic curve fitted on the learning rows, gives the score.
 
-Learning takes a bounded, fixed sample: about SAMPLE rows of each label. What
+Learning takes a bounded, fixed sample: about SAMPLE rows of each label, three
+quarters for the words and the rest for the background and the curve. What
 comes to the driver are the words of that sample with a clear lean, and two
 numbers for each of its rows.
 
 Texts: null and empty ones have no words and get the score of no finding;
 long ones are scanned whole. Rows come one to one. Without labels of both
-kinds nothing is learned and every score is 0. Only the named columns are
+kinds in either part nothing is learned and every score is 0. Only the named columns are
 read, so that other columns cannot clash.
 """
 
@@ -30,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import received, sample_share, send
+from .common import received, sample_share, send, stored
 
 #: About so many labelled rows of each label are learned from.
 SAMPLE = 6000
 #: Weight of the prior, in texts; lean, as the likelihood-ratio statistic, from which a word counts; drift of a word that isn't known.
-PRIOR, LEAN, DRIFT = 2.0, 15.0, 0.7
+PRIOR, LEAN, DRIFT = 2.0, 20.0, 0.7
 #: Lengths of the families' first characters.
 STEMS = (5, 4)
 #: Segments are toxic passages where so many such are expected in an ordinary text.
@@ -162,15 +163,16 @@ def learn(df: DataFrame, labels: DataFrame, learn_from: Column, label_col: str =
         return Model({})
     share = F.when(F.col("_label") == 1, F.lit(min(1.0, sample / totals[1]))).otherwise(min(1.0, sample / totals[0]))
     chosen = known.where(sample_share("_id", share)).groupBy("_id").agg(F.max("_label").alias("_label"))
-    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_text")).join(chosen, "_id").select("_label", "_text")
+    read = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_text"))
+    texts = stored(read.join(chosen, "_id").select("_label", "_text", (F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(23)), F.lit(4)) == 0).alias("_later")))
     words = F.array_distinct(F.filter(F.split("_text", SPLIT), lambda w: w != ""))
     stems = [F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
-    every = texts.select("_label", F.explode(F.array_distinct(F.concat(words, *stems))).alias("unit"))
+    every = texts.where("not _later").select("_label", F.explode(F.array_distinct(F.concat(words, *stems))).alias("unit"))
     counts = every.groupBy("unit").agg(F.sum("_label").cast("double").alias("toxic"), F.sum(1 - F.col("_label")).cast("double").alias("other"))
-    size = {r["_label"]: float(r["n"]) for r in texts.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    if not size.get(0) or not size.get(1):
+    size = {(r["_label"], r["_later"]): float(r["n"]) for r in texts.groupBy("_label", "_later").agg(F.count("*").alias("n")).collect()}
+    if len(size) < 4:
         return Model({})
-    n1, n0 = size[1], size[0]
+    n1, n0 = size[1, False], size[0, False]
     odds, lean = _log_odds(F.col("toxic"), F.col("other"), n1, n0)
     leaning = counts.select("unit", "toxic", odds.alias("score"), lean.alias("lean"))
     kept = leaning.where((F.col("toxic") >= 2) & (F.col("score") > DRIFT) & (F.col("lean") > LEAN / 3)).collect()  # of a bounded sample
@@ -193,7 +195,8 @@ def learn(df: DataFrame, labels: DataFrame, learn_from: Column, label_col: str =
                 rows.append((label, n, [round(h[3], 1) for h in hits] if label == 0 else []))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["label", "n", "scores"])
 
-    seen = texts.mapInArrow(background, "label int, n long, scores array<double>").where("label = 0")
+    later = texts.where("_later").select("_label", "_text")
+    seen = later.mapInArrow(background, "label int, n long, scores array<double>").where("label = 0")
     n_words = seen.agg(F.sum("n")).first()[0] or 1
     positive = {r["s"]: r["n"] / n_words for r in seen.select(F.explode("scores").alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
     model.calibrate_background(positive)
@@ -205,9 +208,9 @@ def learn(df: DataFrame, labels: DataFrame, learn_from: Column, label_col: str =
             found = [model.findings(text)[0] for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["label", "surprise"])
 
-    fit = texts.mapInArrow(surprises, "label int, surprise double").select("label", F.round("surprise", 2).alias("surprise")).groupBy("label", "surprise").count().collect()
+    fit = later.mapInArrow(surprises, "label int, surprise double").select("label", F.round("surprise", 2).alias("surprise")).groupBy("label", "surprise").count().collect()
     # Each label counts as in all labelled rows, not as in the sample.
-    repeat = {label: totals[label] / size[label] for label in (0, 1)}
+    repeat = {label: totals[label] / size[label, True] for label in (0, 1)}
     weights = np.array([r["count"] * repeat[r["label"]] for r in fit])
     model.calibrate_score(np.array([r["surprise"] for r in fit]), np.array([float(r["label"]) for r in fit]), weights)
     return model
