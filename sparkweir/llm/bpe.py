@@ -27,14 +27,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once_per_process
+from .common import once_per_process, slices
 
 #: Pre-tokens that a worker remembers before it keeps only those in use.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: A pre-token of more bytes goes through a queue of its own and is not remembered.
 LONG = 128
-#: Characters of text that are encoded together.
-TOGETHER = 6_000_000
+#: Bytes of text that are encoded together.
+TOGETHER = 3_000_000
 
 
 class RankQueue:
@@ -122,18 +122,31 @@ class Splitter:
         return [text[i:j] for i, j in zip(at, at[1:])]
 
 
-class Vocabulary:
-    """Ranks of a tiktoken file's content, and the encoder over them."""
+def ranks_of(content: bytes) -> dict[bytes, int]:
+    """The ranks by token of a tiktoken file's content."""
+    rows = (line.split() for line in content.splitlines() if line.strip())
+    return {base64.b64decode(token): int(rank) for token, rank in rows}
 
-    def __init__(self, content: bytes, pattern: str):
-        self.ranks = {}
-        for line in content.splitlines():
-            if line.strip():
-                token, rank = line.split()
-                self.ranks[base64.b64decode(token)] = int(rank)
-        self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
-        for token, rank in self.ranks.items():
+
+class Tokens:
+    """The tokens by id, and the decoder."""
+
+    def __init__(self, content: bytes):
+        ranks = ranks_of(content)
+        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
             self.tokens[rank] = token
+
+    def decode(self, packed: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+
+class Vocabulary(Tokens):
+    """The encoder."""
+
+    def __init__(self, content: bytes, pattern: str):
+        super().__init__(content)
+        self.ranks = ranks_of(content)
         self.split = Splitter() if pattern == Splitter.PATTERN else regex.compile(pattern).findall
         self.queue = RankQueue(len(self.tokens))
         self.known: dict[str, bytes] = {}
@@ -287,33 +300,23 @@ class Vocabulary:
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-
 
 def _encoder(content, pattern: str):
     def run(batches):
         raw = content.value
         words = once_per_process(f"bpe {hashlib.sha256(raw).hexdigest()} {pattern}", lambda: Vocabulary(raw, pattern))
-        for batch in batches:
-            ids, texts, size = [], [], 0
-            for text in batch.column(1):
-                texts.append((text.as_py() or b"").decode("utf-8", "replace"))
-                size += len(texts[-1])
-                if size > TOGETHER:
-                    ids += words.encode_many(texts)
-                    texts, size = [], 0
-            ids += words.encode_many(texts)
+        for batch in slices(batches, 1, TOGETHER):
+            ids = words.encode_many([(text or b"").decode("utf-8", "replace") for text in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
     return run
 
 
-def _decoder(content, pattern: str):
+def _decoder(content):
     def run(batches):
         raw = content.value
-        words = once_per_process(f"bpe {hashlib.sha256(raw).hexdigest()} {pattern}", lambda: Vocabulary(raw, pattern))
-        for batch in batches:
+        words = once_per_process(f"bpe tokens {hashlib.sha256(raw).hexdigest()}", lambda: Tokens(raw))
+        for batch in slices(batches, 2, TOGETHER):
             plain = [None if x is None else words.decode(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(plain, pa.binary())], ["id", "n_tokens", "ids", "decoded"])
 
@@ -334,11 +337,11 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     return out.select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """What encode() returns, with the decoded bytes; null ids stay null."""
     content = _shared(encoded, path)
     read = encoded.select(F.col(id_col).alias("id"), "n_tokens", "ids")
-    out = read.mapInArrow(_decoder(content, pattern), f"id {dict(read.dtypes)['id']}, n_tokens long, ids binary, decoded binary")
+    out = read.mapInArrow(_decoder(content), f"id {dict(read.dtypes)['id']}, n_tokens long, ids binary, decoded binary")
     return out.withColumnRenamed("id", id_col)
 
 

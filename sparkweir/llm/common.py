@@ -9,6 +9,8 @@ import tempfile
 import types
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +67,21 @@ def once_per_process(key: str, build):
     return held[key]
 
 
+def slices(batches, column: int, size: int = 4_000_000):
+    """Record batches of at most so many bytes in a column of texts, or of one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        first = 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def send(spark: SparkSession, model) -> Broadcast:
     """A model for the executors, whose workers need not be able to import its class."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(model))

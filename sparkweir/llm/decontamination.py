@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import received, send
+from .common import received, send, slices
 
 #: Fixed by the contract: what may stand between words.
 BETWEEN = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -158,7 +158,7 @@ SCANNED = "n_words long, spans array<struct<first:int,end:int>>, items array<str
 def _scanner(sent):
     def run(batches):
         automaton = received(sent)
-        for batch in batches:
+        for batch in slices(batches, 1):
             counts, spans, items = [], [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
@@ -233,7 +233,7 @@ def contaminated(hit: Column, words: Column, one_in: int = 20) -> Column:
 
 def _cutter(batches):
     cut = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    for batch in batches:
+    for batch in slices(batches, 1):
         texts = []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if text is None or not spans:

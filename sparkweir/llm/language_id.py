@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import received, sample_share, send
+from .common import received, sample_share, send, slices
 
 #: Bytes of an n-gram.
 N = 4
@@ -71,7 +71,7 @@ def _stretches(texts: list[bytes]):
 
 
 def _counter(batches):
-    for batch in batches:
+    for batch in slices(batches, 1):
         langs = np.array(batch.column(0).to_pylist(), object)
         texts = batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
@@ -174,7 +174,7 @@ def learn(df: DataFrame, learn_from: Column, lang_col: str = "lang", id_col: str
 def _decider(sent):
     def run(batches):
         model = received(sent)
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [x or b"" for x in batch.column(1).to_pylist()]
             if model.languages and texts:
                 best, score = model.decide(texts)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 from .components import connected_components
 
 #: Words of a shingle, bits in which linked fingerprints may differ, points of a bucket that one task compares with each other.
@@ -65,7 +65,7 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
 
 def _fingerprinter(words: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = np.array([fingerprint(text.as_py(), words) for text in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["id", "fp"])
 

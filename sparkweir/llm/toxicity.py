@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import received, sample_share, send, stored
+from .common import received, sample_share, send, slices, stored
 
 #: About so many labelled rows of each label are learned from.
 SAMPLE = 6000
@@ -219,7 +219,7 @@ def learn(df: DataFrame, labels: DataFrame, learn_from: Column, label_col: str =
 def _scorer(sent):
     def run(batches):
         model = received(sent)
-        for batch in batches:
+        for batch in slices(batches, 1):
             scores, passages = [], []
             for text in batch.column(1):
                 _, score, found = model.findings(text.as_py() or "")
