@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, quality_rules, simhash, toxicity
+from . import bpe, decontamination, language_id, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import held_out, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.learn(docs, ~held_out("doc_id"))
@@ -54,7 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op5_language_id, op6_simhash, op7_decontamination, op8_quality_rules, op9_byte_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_suffix_dedup, op5_language_id, op6_simhash, op7_decontamination, op8_quality_rules, op9_byte_bpe, op10_toxicity)}
 
 #: Whole-table SQL for DuckDB, where SQL can express a query.
 ORACLE_SQL: dict[str, str] = {}
