@@ -164,7 +164,8 @@ def learn(df: DataFrame, labels: DataFrame, learn_from: Column, label_col: str =
     share = F.when(F.col("_label") == 1, F.lit(min(1.0, sample / totals[1]))).otherwise(min(1.0, sample / totals[0]))
     chosen = known.where(sample_share("_id", share)).groupBy("_id").agg(F.max("_label").alias("_label"))
     read = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_text"))
-    texts = stored(read.join(chosen, "_id").select("_label", "_text", (F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(23)), F.lit(4)) == 0).alias("_later")))
+    # The ids chosen are bounded by the sample, so that they are sent to the texts.
+    texts = stored(read.join(F.broadcast(chosen), "_id").select("_label", "_text", (F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(23)), F.lit(4)) == 0).alias("_later")))
     words = F.array_distinct(F.filter(F.split("_text", SPLIT), lambda w: w != ""))
     stems = [F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
     every = texts.where("not _later").select("_label", F.explode(F.array_distinct(F.concat(words, *stems))).alias("unit"))
