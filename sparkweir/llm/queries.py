@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
+from . import bpe, decontamination, language_id, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import held_out, table
 
 
@@ -14,11 +14,32 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.train(secret_scan.training_findings(spark))
+    scanned = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), forest)
+    return scanned.select(
+        "doc_id",
+        F.size("findings").cast("long").alias("n_candidates"),
+        F.size(F.filter("findings", lambda f: f["secret"])).cast("long").alias("n_secrets"),
+        F.filter("findings", lambda f: f["secret"]).alias("secrets"),
+        F.sha2(F.coalesce("cleared", F.lit("")).cast("binary"), 256).alias("cleared_sha256"),
+    )
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # Grades: 0 bad, 1 good but toxic, 2 good.
+    ratings = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("grade"))
+    model = quality_classifier.learn(docs, ratings, ~held_out("doc_id"))
+    judged = quality_classifier.judge(docs, model)
+    return judged.select("doc_id", held_out("doc_id").alias("held_out"), "expected_grade", "tail_probability", "kept")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.learn(docs, ~held_out("doc_id"))
@@ -64,7 +85,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_suffix_dedup, op5_language_id, op6_simhash, op7_decontamination, op8_quality_rules, op9_byte_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_suffix_dedup, op4_quality_classifier, op5_language_id, op6_simhash, op7_decontamination, op8_quality_rules, op9_byte_bpe, op10_toxicity)}
 
 #: Whole-table SQL for DuckDB, where SQL can express a query.
 ORACLE_SQL: dict[str, str] = {}
