@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lazy import pandas_function
 from .text import SECRET_NAMES
 
 
@@ -66,7 +67,7 @@ def _has_secret_key(value) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@pandas_function("boolean")
 def has_secret_key(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Whether any key of a JSON text, at any depth, names a secret; null for null, false for what isn't JSON."""
 
@@ -97,7 +98,7 @@ def _leaves(value, out: list, most: int) -> None:
 def corpus(most: int = 30000):
     """A function of a JSON column: all its values in order, parted by spaces and cut."""
 
-    @F.pandas_udf("string")
+    @pandas_function("string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(text):
             out: list[str] = []
@@ -127,7 +128,7 @@ def canonical(value) -> str:
     return json.dumps(plain(json.loads(value, parse_float=lambda s: number(Decimal(s)), parse_constant=lambda s: (_ for _ in ()).throw(ValueError(s)))), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@pandas_function("string")
 def canonical_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield part.map(canonical, na_action="ignore")
@@ -145,7 +146,7 @@ def _depth_and_nodes(text):
     return deepest, nodes
 
 
-@F.pandas_udf("struct<depth:int,nodes:int>")
+@pandas_function("struct<depth:int,nodes:int>")
 def structure(texts: pd.Series) -> pd.DataFrame:
     """How deep a JSON text goes, and its number of values; for limits on both."""
     return pd.DataFrame(texts.map(_depth_and_nodes).tolist(), columns=["depth", "nodes"])

@@ -47,7 +47,7 @@ def backoff_seconds(attempt: Column, key: Column, base: float = 30.0, most: floa
 
 def retry_due(attempt: Column, limit: int, last: Column, wait: Column, now: Column) -> Column:
     """True if another try is allowed and its time has come; without a last try it has."""
-    return (attempt < limit) & F.coalesce(F.unix_micros(last.cast("timestamp")) + (wait * 1000000).cast("long") <= F.unix_micros(now.cast("timestamp")), F.lit(True))
+    return (attempt < limit) & F.coalesce(F.unix_micros(last.cast("timestamp")) + wait.cast("long") * 1000000 <= F.unix_micros(now.cast("timestamp")), F.lit(True))
 
 
 def alert_plan(previous: DataFrame, current: DataFrame, key: str, now: Column, remind_hours: int = 24) -> DataFrame:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lazy import pandas_function
 from ..functions.text import contains_any, matching, normal
 from .cascade import all_matches, any_of, first_match
 
@@ -246,12 +247,12 @@ def alike(a: str | None, b: str | None, contained: int = 24, ratio: float = 0.86
     return bool(short) and difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() >= ratio
 
 
-@F.pandas_udf("boolean")
+@pandas_function("boolean")
 def near_text(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([alike(x, y) for x, y in zip(a, b)], dtype="boolean")
 
 
-@F.pandas_udf("array<string>")
+@pandas_function("array<string>")
 def without_near(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Texts of a list without those alike to an earlier one."""
 
@@ -320,7 +321,7 @@ def sections(text: str | None, start: str, stop: str, most: int = 6000) -> list[
 
 
 def section_finder(start: str, stop: str, most: int = 6000):
-    @F.pandas_udf("array<struct<start:int,end:int,title:string>>")
+    @pandas_function("array<struct<start:int,end:int,title:string>>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
             yield part.map(lambda t: sections(t, start, stop, most))
@@ -345,7 +346,7 @@ def windows(text: str | None, words: list[str], radius: int, most: int) -> list[
 
 
 def window_finder(words: list[str], radius: int, most: int = 12):
-    @F.pandas_udf("array<struct<start:int,end:int>>")
+    @pandas_function("array<struct<start:int,end:int>>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
             yield part.map(lambda t: windows(t, words, radius, most))
