@@ -33,7 +33,7 @@ RECORD = T.StructType(
     ]
 )
 
-SNAPSHOT = T.StructType.fromDDL("schema_version string, tenders array<struct<id:string,title:string,customer_name:string,source_url:string,description:string,documents:array<struct<id:string,title:string,text:string>>>>")
+SNAPSHOT = "schema_version string, tenders array<struct<id:string,title:string,customer_name:string,source_url:string,description:string,documents:array<struct<id:string,title:string,text:string>>>>"
 
 
 @dataclass(frozen=True)
