@@ -284,6 +284,8 @@ def requests(entries: np.ndarray, shape: Shape) -> np.ndarray:
         group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(rows))))
         apart = rows["segment"] != rows["segment"][at][group]
         wanted = np.logical_or.reduceat(apart, at)
+        if side == "right":  # segments with the same left side meet under that
+            wanted &= np.logical_or.reduceat((rows["left"] == 0) | (rows["left"] != rows["left"][at][group]), at)
         if shape.rule == "earlier":
             wanted &= np.maximum.reduceat(rows["doc"], at) != np.minimum.reduceat(rows["doc"], at)
         rows, key = rows[wanted[group]], key[wanted[group]]
@@ -409,18 +411,23 @@ def repeated_spans(df: DataFrame, shape: Shape, tokenize, pack, unpack, equal_wi
     spark = df.sparkSession
     size = int(str(df.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, size // PARTITION_BYTES + 1))
-    buckets = 4 * parts
+    buckets = parts
     texts = texts_of(df, id_col, text_col)
     scanned = texts.mapInArrow(_scanner(shape, tokenize, buckets), ROW)
-    matched = stored(scanned.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_matcher(shape, buckets), ROW))
+    matched = stored(dealt_by_bucket(scanned, parts).mapInArrow(_matcher(shape, buckets), ROW))
     asked = matched.where("kind = 2")
     if asked.isEmpty():
         return matched.where("kind = 1"), buckets
     taken = with_texts(asked, texts, buckets, parts).mapInArrow(_extractor(shape, tokenize, pack, buckets), ROW)
-    compared = stored(taken.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_comparer(shape, unpack, equal_windows, buckets), ROW))
+    compared = stored(dealt_by_bucket(taken, parts).mapInArrow(_comparer(shape, unpack, equal_windows, buckets), ROW))
     return matched.where("kind = 1").unionAll(compared), buckets
 
 
+def dealt_by_bucket(df: DataFrame, parts: int) -> DataFrame:
+    """One partition per bucket; in it blobs before texts."""
+    return df.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "kind")
+
+
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
 
@@ -438,4 +445,4 @@ def _bucketer(buckets: int):
 def with_texts(rows: DataFrame, texts: DataFrame, buckets: int, parts: int) -> DataFrame:
     """Blobs and texts by bucket of the id, each bucket's blobs first."""
     every = rows.unionAll(texts.mapInArrow(_bucketer(buckets), ROW))
-    return every.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    return dealt_by_bucket(every, parts)

@@ -139,5 +139,5 @@ def _cutter(batches):
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_removed, text): the kept words joined by one space."""
     spans, buckets = repeated_spans(df, Shape(WINDOW, GRAM, "elsewhere"), tokenize, _pack, _unpack, equal_windows, id_col, text_col)
-    cut = with_texts(spans, texts_of(df, id_col, text_col), buckets, buckets // 4).mapInArrow(_cutter, "id long, n_words long, n_removed long, kept binary")
+    cut = with_texts(spans, texts_of(df, id_col, text_col), buckets, buckets).mapInArrow(_cutter, "id long, n_words long, n_removed long, kept binary")
     return cut.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("text"))

@@ -82,21 +82,8 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     sampled = sampled[sampled < n]
     rest = np.arange(0, n, 3)
     rest = rest[np.lexsort((ranks[rest + 1], padded[rest]))]
-    # Merge: how many sampled suffixes come before each of the rest, by bisection of all at once.
-    low, high = np.zeros(len(rest), np.int64), np.full(len(rest), len(sampled), np.int64)
-    one = sampled % 3 == 1
-    while (open_ := low < high).any():
-        i = rest[open_]
-        mid = (low[open_] + high[open_]) // 2
-        j = sampled[mid]
-        first = one[mid]
-        a1, b1 = padded[i], padded[j]
-        a2, b2 = np.where(first, ranks[i + 1], padded[i + 1]), np.where(first, ranks[j + 1], padded[j + 1])
-        a3, b3 = np.where(first, 0, ranks[i + 2]), np.where(first, 0, ranks[j + 2])
-        after = (b1 < a1) | ((b1 == a1) & ((b2 < a2) | ((b2 == a2) & (b3 < a3))))
-        low[open_] = np.where(after, mid + 1, low[open_])
-        high[open_] = np.where(after, high[open_], mid)
-    # The order of the rest holds in a tie of the bisection, as places only grow along it.
+    low = _sampled_before(padded, ranks, rest, sampled)
+    # Among suffixes that agree over the depth any order will do, so long as places grow along the rest.
     place = np.maximum.accumulate(low) + np.arange(len(rest))
     out = np.full(n, -1, np.int64)
     out[place] = rest
@@ -104,6 +91,34 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def _sampled_before(text: np.ndarray, ranks: np.ndarray, rest: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+    """How many of the sampled suffixes come before each of the rest.
+
+    The merge of the two: against places 1 modulo 3 suffixes compare by a token
+    and a rank, against places 2 by two tokens and a rank.
+    """
+    tokens, rank = int(text.max(initial=1)).bit_length(), int(ranks.max(initial=1)).bit_length()
+    one, two = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
+    if 2 * tokens + rank > 63:  # too wide for one integer each
+        return _rows_before([text[one], ranks[one + 1]], [text[rest], ranks[rest + 1]]) + _rows_before([text[two], text[two + 1], ranks[two + 2]], [text[rest], text[rest + 1], ranks[rest + 2]])
+    shift, further = np.int64(rank), np.int64(rank + tokens)
+    by_one = lambda i: (text[i] << shift) | ranks[i + 1]
+    by_two = lambda i: (text[i] << further) | (text[i + 1] << shift) | ranks[i + 2]
+    return np.searchsorted(np.sort(by_one(one)), by_one(rest)) + np.searchsorted(np.sort(by_two(two)), by_two(rest))
+
+
+def _rows_before(columns: list[np.ndarray], queries: list[np.ndarray]) -> np.ndarray:
+    """How many rows of the columns are less than each of the queries' rows."""
+    n = len(columns[0])
+    both = [np.concatenate([q, c]) for c, q in zip(columns, queries)]
+    order = np.lexsort([np.append(np.zeros(len(queries[0])), np.ones(n)), *both[::-1]])
+    seen = np.cumsum(order >= len(queries[0]))
+    out = np.empty(len(queries[0]), np.int64)
+    asked = order < len(queries[0])
+    out[order[asked]] = seen[asked]
+    return out
+
+
 def equal_windows(parts: list[np.ndarray]) -> np.ndarray:
     """A class for each window of the segments in turn, shared by equal windows only."""
     lengths = np.array([len(x) for x in parts])
@@ -120,9 +135,14 @@ def equal_windows(parts: list[np.ndarray]) -> np.ndarray:
     start = flat + WINDOW <= ends[owner]
     order = order[start[order]]
     a, b = order[:-1], order[1:]
+    # Seven tokens of nine bits to an integer.
+    padded = np.append(text, np.zeros(7, np.int64))
+    packed = np.zeros(len(text), np.int64)
+    for k in range(7):
+        packed = (packed << 9) | padded[k : k + len(text)]
     same = np.ones(len(a), bool)
-    for k in range(WINDOW):
-        same[same] = text[a[same] + k] == text[b[same] + k]
+    for k in [*range(0, WINDOW - 6, 7), WINDOW - 7]:
+        same &= packed[a + k] == packed[b + k]
     classes = np.zeros(len(text), np.int64)
     classes[order] = np.append(0, np.cumsum(~same))
     return classes[np.flatnonzero(start)]
@@ -158,5 +178,5 @@ def _cutter(batches):
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept): kept in bytes."""
     spans, buckets = repeated_spans(df, Shape(WINDOW, GRAM, "earlier"), tokenize, _pack, _unpack, equal_windows, id_col, text_col)
-    cut = with_texts(spans, texts_of(df, id_col, text_col), buckets, buckets // 4).mapInArrow(_cutter, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = with_texts(spans, texts_of(df, id_col, text_col), buckets, buckets).mapInArrow(_cutter, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.withColumnRenamed("id", id_col)
