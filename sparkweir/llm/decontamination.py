@@ -18,9 +18,12 @@ Only the named columns are read, so that other columns cannot clash.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import received, send, slices
@@ -190,6 +193,11 @@ def _blocks(items):
         yield block
 
 
+def _automata(spark: SparkSession, benchmark: DataFrame, window: int, item_col: str, item_text_col: str) -> list[Broadcast]:
+    items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("text"))
+    return [send(spark, Automaton(block, window)) for block in _blocks(items.toLocalIterator())] or [send(spark, Automaton([], window))]
+
+
 def scan(df: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, n_words, spans, items): the runs of hit words, and the items, as sorted strings, whose windows occur.
 
@@ -197,9 +205,7 @@ def scan(df: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "d
     automata of a bounded size, each of which is sent to the executors; with
     more than one, the documents are scanned with each and the findings merged.
     """
-    spark = df.sparkSession
-    items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("text"))
-    automata = [send(spark, Automaton(block, window)) for block in _blocks(items.toLocalIterator())] or [send(spark, Automaton([], window))]
+    automata = _automata(df.sparkSession, benchmark, window, item_col, item_text_col)
     if len(automata) == 1:
         read = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
         return read.mapInArrow(_scanner(automata[0]), f"id {dict(read.dtypes)['id']}, {SCANNED}").withColumnRenamed("id", id_col)
@@ -222,6 +228,31 @@ def scan(df: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "d
     return merged.select(F.col("id.id").alias(id_col), "n_words", joined.alias("spans"), "items")
 
 
+def marks(df: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Column:
+    """struct(n_words, n_hit) as a column: only the text goes to the Python workers, through each automaton in turn."""
+    automata = _automata(df.sparkSession, benchmark, window, item_col, item_text_col)
+
+    @F.pandas_udf("struct<n_words:long,n_hit:long>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in texts:
+            words = [words_of(text) for text in part]
+            spans: list[list] = [[] for _ in words]
+            for sent in automata:
+                automaton = received(sent)
+                for found, w in zip(spans, words):
+                    found += automaton.scan(w)[0]
+            hits = []
+            for found in spans:
+                hit = reach = 0
+                for first, end in sorted(found):
+                    hit += max(0, end - max(first, reach))
+                    reach = max(reach, end)
+                hits.append(hit)
+            yield pd.DataFrame({"n_words": [len(w) for w in words], "n_hit": hits}, dtype="int64")
+
+    return run(F.col(text_col).cast("binary"))
+
+
 def n_hit(spans: str = "spans") -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["first"])
 

@@ -34,6 +34,8 @@ from .common import once_per_process, slices, stored
 PIECE, GATHERED = 1 << 20, 1_500_000
 #: Bytes of texts for each partition, by the size that Spark knows of.
 PARTITION_BYTES = 16 << 20
+#: From here on Spark's size of a table is a guess.
+UNKNOWN = 1 << 50
 #: Stands for an id that is null.
 NULL_ID = -(1 << 63)
 
@@ -410,7 +412,8 @@ def repeated_spans(df: DataFrame, shape: Shape, tokenize, pack, unpack, equal_wi
     """(rows of kind 1: packed spans by bucket of the id, the number of buckets)."""
     spark = df.sparkSession
     size = int(str(df.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, size // PARTITION_BYTES + 1))
+    known = size if size < UNKNOWN else 0  # of files; what has been computed has no size, or a far too large one
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), known // PARTITION_BYTES + 1)
     buckets = parts
     texts = texts_of(df, id_col, text_col)
     scanned = texts.mapInArrow(_scanner(shape, tokenize, buckets), ROW)

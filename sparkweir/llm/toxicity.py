@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -232,6 +234,19 @@ def _scorer(sent):
     return run
 
 
+def score_column(df: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """The score alone, as a column: only the text goes to the Python workers."""
+    sent = send(df.sparkSession, model)
+
+    @F.pandas_udf("double")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = received(sent)
+        for part in texts:
+            yield pd.Series([model.findings(text or "")[1] for text in part], dtype="float64")
+
+    return run(F.lower(text_col))
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, passages): passages as character ranges of the lower-cased text, with the number expected by chance."""
     sent = send(df.sparkSession, model)
