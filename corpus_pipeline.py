@@ -19,8 +19,7 @@ from sparkweir.llm.common import held_out, stored, table
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more go; a document without a score stays."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
-    scored = toxicity.score(docs.withColumn("_row", F.struct(*docs.columns)), model, "_row")
-    return scored.where(F.col("score") < 0.7).select("_row.*")
+    return docs.withColumn("_score", toxicity.score_column(docs, model)).where(F.col("_score") < 0.7).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +30,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go: at least one word hit, and one in twenty."""
-    found = decontamination.scan(docs.withColumn("_row", F.struct(*docs.columns)), table(spark, sf_dir, "benchmark"), id_col="_row")
-    return found.where(~decontamination.contaminated(decontamination.n_hit(), F.col("n_words"))).select("_row.*")
+    marked = docs.withColumn("_marks", decontamination.marks(docs, table(spark, sf_dir, "benchmark")))
+    return marked.where(~decontamination.contaminated(F.col("_marks.n_hit"), F.col("_marks.n_words"))).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
