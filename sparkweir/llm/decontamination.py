@@ -263,14 +263,11 @@ def contaminated(hit: Column, words: Column, one_in: int = 20) -> Column:
 
 
 def _cutter(batches):
-    cut = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    find = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for batch in slices(batches, 1):
         texts = []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if text is None or not spans:
-                texts.append(text)
-                continue
-            places = [m.span() for m in cut.finditer(text)]
+            places = [m.span() for m in find.finditer(text.translate(LOWER))]
             kept, at = [], 0
             for s in spans:
                 kept.append(text[at : places[s["first"]][0]])
