@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontamination, language_id, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import held_out, table
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_suffix_dedup, op4_quality_classifier, op5_language_id, op6_simhash, op7_decontamination, op8_quality_rules, op9_byte_bpe, op10_toxicity)}
-
-#: Whole-table SQL for DuckDB, where SQL can express a query.
-ORACLE_SQL: dict[str, str] = {}
