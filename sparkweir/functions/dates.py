@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lazy import pandas_function
+
 
 def parsed(text: Column) -> Column:
     """An ISO time, Z as UTC; null where there is none."""
@@ -112,3 +117,18 @@ def truth(text: Column) -> Column:
 def first_set(*columns: Column) -> Column:
     """A setting from the first source that has it."""
     return F.coalesce(*columns)
+
+
+def without_past_dates(day: str, prepositions: tuple[str, ...] = ("by", "until", "from", "on")):
+    """A function of texts: dates (dd.mm.yyyy) before the day go, with the preposition before them."""
+    words = "|".join(prepositions)
+
+    @pandas_function("string")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import re
+
+        found = re.compile(rf"\s*(?:\b(?:{words})\s+)?\b(\d{{2}})\.(\d{{2}})\.(\d{{4}})\b")
+        for part in texts:
+            yield part.map(lambda t: found.sub(lambda m: "" if f"{m[3]}-{m[2]}-{m[1]}" < day else m[0], t), na_action="ignore")
+
+    return run
