@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once_per_process, slices
+from .common import once_per_process, slices, small_batches
 
 #: Pre-tokens that a worker remembers before it keeps only those in use.
 REMEMBERED = 200_000
@@ -332,7 +332,7 @@ def _shared(df: DataFrame, path: str):
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids): ids as little-endian unsigned 32-bit integers in one binary."""
     content = _shared(df, path)
-    read = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    read = small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     out = read.mapInArrow(_encoder(content, pattern), f"id {dict(read.dtypes)['id']}, ids binary")
     return out.select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 

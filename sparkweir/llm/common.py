@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import pickle
 import sys
@@ -10,6 +11,7 @@ import types
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +69,31 @@ def once_per_process(key: str, build):
     return held[key]
 
 
+#: Bytes of rows that Spark sends to a Python worker at a time, where the session allows more.
+BATCH_BYTES = 4_000_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session's batches for Python workers are held to BATCH_BYTES, or one row, whatever the rows' number.
+
+    The bound on rows alone, and the 64 MB of Spark's own bound on bytes, would let
+    each task hold that much several times over: in the JVM and in its worker.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def give_back() -> None:
+    """Memory that was freed in this Python worker goes back to the system, as workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such function in this C library
+        pass
+
+
 def slices(batches, column: int, size: int = 4_000_000):
     """Record batches of at most so many bytes in a column of texts, or of one row."""
     for batch in batches:
@@ -80,6 +107,7 @@ def slices(batches, column: int, size: int = 4_000_000):
             last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(first, last - first)
             first = last
+    give_back()
 
 
 def send(spark: SparkSession, model) -> Broadcast:

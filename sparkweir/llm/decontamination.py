@@ -20,13 +20,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import received, send, slices
+from .common import give_back, received, send, slices, small_batches
 
 #: Fixed by the contract: what may stand between words.
 BETWEEN = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -230,17 +229,19 @@ def scan(df: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "d
 
 def marks(df: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Column:
     """struct(n_words, n_hit) as a column: only the text goes to the Python workers, through each automaton in turn."""
-    automata = _automata(df.sparkSession, benchmark, window, item_col, item_text_col)
+    automata = _automata(small_batches(df).sparkSession, benchmark, window, item_col, item_text_col)
 
-    @F.pandas_udf("struct<n_words:long,n_hit:long>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<n_words:long,n_hit:long>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            words = [words_of(text) for text in part]
-            spans: list[list] = [[] for _ in words]
+            spans: list[list] = [[] for _ in part]
+            counts = [0] * len(part)
             for sent in automata:
                 automaton = received(sent)
-                for found, w in zip(spans, words):
-                    found += automaton.scan(w)[0]
+                for at, text in enumerate(part):
+                    words = words_of(text.as_py())  # of one text at a time, as they take many times its bytes
+                    counts[at] = len(words)
+                    spans[at] += automaton.scan(words)[0]
             hits = []
             for found in spans:
                 hit = reach = 0
@@ -248,7 +249,8 @@ def marks(df: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str =
                     hit += max(0, end - max(first, reach))
                     reach = max(reach, end)
                 hits.append(hit)
-            yield pd.DataFrame({"n_words": [len(w) for w in words], "n_hit": hits}, dtype="int64")
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(hits, pa.int64())], ["n_words", "n_hit"])
+        give_back()
 
     return run(F.col(text_col).cast("binary"))
 

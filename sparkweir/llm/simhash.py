@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import slices, small_batches, stored
 from .components import connected_components
 
 #: Words of a shingle, bits in which linked fingerprints may differ, points of a bucket that one task compares with each other.
@@ -56,11 +56,12 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)[: len(parts) - words + 1]
-    hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends[words - 1 :].tolist())], "<u8")
     counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 65536):
-        counts += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    for i in range(0, len(starts), 65536):
+        ranges = zip(starts[i : i + 65536].tolist(), ends[i + words - 1 :][:65536].tolist())
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in ranges], "<u8")
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
 
 
 def _fingerprinter(words: int):
@@ -74,7 +75,7 @@ def _fingerprinter(words: int):
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(id_col, fp): the fingerprint's bits as a signed integer."""
-    read = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    read = small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return read.mapInArrow(_fingerprinter(words), f"id {dict(read.dtypes)['id']}, fp long").withColumnRenamed("id", id_col)
 
 

@@ -28,12 +28,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import received, sample_share, send, slices, stored
+from .common import give_back, received, sample_share, send, slices, small_batches, stored
 
 #: About so many labelled rows of each label are learned from.
 SAMPLE = 6000
@@ -236,13 +235,14 @@ def _scorer(sent):
 
 def score_column(df: DataFrame, model: Model, text_col: str = "text") -> Column:
     """The score alone, as a column: only the text goes to the Python workers."""
-    sent = send(df.sparkSession, model)
+    sent = send(small_batches(df).sparkSession, model)
 
-    @F.pandas_udf("double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = received(sent)
         for part in texts:
-            yield pd.Series([model.findings(text or "")[1] for text in part], dtype="float64")
+            yield pa.array([model.findings(text.as_py() or "")[1] for text in part], pa.float64())
+        give_back()
 
     return run(F.lower(text_col))
 
