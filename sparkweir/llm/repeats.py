@@ -41,8 +41,9 @@ NULL_ID = -(1 << 63)
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_OTHER = np.uint64(0xA24BAED4963EE407)
 
-ENTRY = np.dtype([("anchor", "<u8"), ("segment", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("start", "<u4"), ("before", "u1"), ("n", "u1"), ("twice", "u1")])
+ENTRY = np.dtype([("anchor", "<u8"), ("segment", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("start", "<u4"), ("before", "u1"), ("n", "u1"), ("twice", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
 REQUEST = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("twice", "u1")])
 
@@ -116,7 +117,10 @@ def segments(values: np.ndarray, piece: np.ndarray, allowed: np.ndarray, shape:
     before = place - at
     anchor = grams[place]
     own = piece[place]
-    whole = mixed(hashed(at, at + n - 1 + w) + mixed((before * 256 + n).astype(np.uint64)) + anchor)
+    # From other integers for the tokens than the anchor's, so that its bits tell segments under one anchor apart.
+    other = np.zeros(total + 1, np.uint64)
+    np.cumsum(mixed(values ^ _OTHER) * power[:total], out=other[1:])
+    whole = mixed((other[at + n - 1 + w] - other[at]) * inverse[at])
     ok = place >= shape.side
     ok[ok] = piece[place[ok] - shape.side] == own[ok]
     left = np.zeros(len(at), np.uint16)
@@ -128,7 +132,7 @@ def segments(values: np.ndarray, piece: np.ndarray, allowed: np.ndarray, shape:
     right = np.zeros(len(at), np.uint16)
     p = place[ok] + k
     right[ok] = np.maximum(mixed(hashed(p, p + shape.side) + anchor[ok]) >> np.uint64(48), np.uint64(1))
-    return {"at": at, "n": n, "before": before, "anchor": anchor, "segment": (whole >> np.uint64(32)).astype(np.uint32), "left": left, "right": right, "piece": own}
+    return {"at": at, "n": n, "before": before, "anchor": anchor, "segment": whole, "left": left, "right": right, "piece": own}
 
 
 def pieces(tokens: list[np.ndarray], window: int):
@@ -173,12 +177,17 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return out
 
 
+def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of entries with one anchor: whether their segments differ in tokens, by a hash of 64 bits, in the anchor's place or in length."""
+    return (a["segment"] != b["segment"]) | (a["before"] != b["before"]) | (a["n"] != b["n"])
+
+
 def settle(entries: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """(entries that go on, spans covered by equal segments)."""
     if not len(entries):
         return entries, np.empty(0, SPAN)
-    entries = entries[np.lexsort((entries["start"], entries["doc"], entries["segment"], entries["anchor"]))]
-    new = np.append(True, (entries["anchor"][1:] != entries["anchor"][:-1]) | (entries["segment"][1:] != entries["segment"][:-1]))
+    entries = entries[np.lexsort([entries[name] for name in ("start", "doc", "n", "before", "segment", "anchor")])]
+    new = np.append(True, (entries["anchor"][1:] != entries["anchor"][:-1]) | differ(entries[1:], entries[:-1]))
     at = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     sizes = np.diff(np.append(at, len(entries)))
@@ -284,7 +293,7 @@ def requests(entries: np.ndarray, shape: Shape) -> np.ndarray:
         rows, key = rows[order], key[order]
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(rows))))
-        apart = rows["segment"] != rows["segment"][at][group]
+        apart = differ(rows, rows[at][group])
         wanted = np.logical_or.reduceat(apart, at)
         if side == "right":  # segments with the same left side meet under that
             wanted &= np.logical_or.reduceat((rows["left"] == 0) | (rows["left"] != rows["left"][at][group]), at)

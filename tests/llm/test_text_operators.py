@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkweir.llm import bpe, components, decontamination, language_id, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
+from sparkweir.llm import bpe, components, decontamination, language_id, quality_classifier, quality_rules, repeats, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, n_words string, id string, spans string, fp string"
 
@@ -86,6 +86,38 @@ def test_dedup_of_repeated_rows_null_ids_and_empty_tables(spark):
     assert substring_dedup.deduplicate(df.limit(0)).count() == 0 and suffix_dedup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_segments_under_one_anchor_keep_apart():
+    rnd = np.random.default_rng(12)
+    shape = repeats.Shape(50, 16, "earlier")
+    kinds = repeats.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    tokens = rnd.integers(0, 256, 1_000_000)
+    found = repeats.segments(kinds[tokens], np.zeros(len(tokens), np.int64), np.ones(len(tokens), bool), shape)
+    least = np.argmin(found["anchor"])
+    place = found["at"][least] + found["before"][least]
+    hot, anchor = tokens[place : place + 16], found["anchor"][least]
+    seen = []
+    for _ in range(4):
+        texts = rnd.integers(0, 256, (100_000, 50))
+        texts[:, 17:33] = hot
+        found = repeats.segments(kinds[texts.ravel()], np.repeat(np.arange(len(texts)), 50), np.ones(texts.size, bool), shape)
+        seen.append(found["segment"][found["anchor"] == anchor])
+    seen = np.concatenate(seen)
+    assert len(seen) > 390_000 and len(np.unique(seen)) == len(seen)
+
+
+@pytest.mark.parametrize("rule", ["earlier", "elsewhere"])
+@pytest.mark.parametrize("field", ["before", "n"])
+def test_segments_of_other_place_or_length_are_not_settled(rule, field):
+    entries = np.zeros(2, repeats.ENTRY)
+    entries["doc"], entries["n"], entries["segment"], entries["anchor"] = [1, 2], 1, 7, 9
+    entries["left"] = 5
+    shape = repeats.Shape(50, 16, rule)
+    assert len(repeats.settle(entries, shape)[1]) > 0 and not len(repeats.requests(entries, shape))
+    entries[field] = [1, 2]
+    left, spans = repeats.settle(entries, shape)
+    assert len(left) == 2 and not len(spans) and len(repeats.requests(left, shape)) == 2
+
+
 def test_suffix_order_and_factors():
     rnd = np.random.default_rng(0)
     for n in (0, 1, 2, 3, 4, 5, 50, 300):
