@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 #: What candidates look like, by kind.
 KINDS = {
-    "assignment": r"""\b(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_.\-]{8,200}["']?""",
+    "assignment": r"""\b(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_.\-]{8,}+["']?""",
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "vendor_token": r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|AIza[A-Za-z0-9_\-]{35}|sk_live_[A-Za-z0-9]{24,64})",
+    "vendor_token": r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_\-]{35,}+|sk_live_[A-Za-z0-9]{24,}+)",
     "web_token": r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
     "private_key": r"-----BEGIN (?:[A-Z]{2,10} )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}(?:-----END (?:[A-Z]{2,10} )?PRIVATE KEY-----)?",
 }

@@ -382,6 +382,30 @@ def test_secret_scan(spark):
     assert secret_scan.scan(frame(spark, []), forest).count() == 0
 
 
+def noise(n, letters="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", seed=13):
+    rnd = random.Random(seed)
+    return "".join(rnd.choice(letters) for _ in range(n))
+
+
+def test_long_secrets_go_whole(spark):
+    forest = secret_scan.train(secret_scan.training_findings(spark))
+    web = f"eyJ{noise(60)}.eyJ{noise(700)}.{noise(340)}"
+    cases = {
+        f"token = {web}": "assignment",
+        f"login with token: '{noise(900)}'": "assignment",
+        web: "web_token",
+        f"xoxb-{noise(300)}": "vendor_token",
+        f"sk_live_{noise(400)}": "vendor_token",
+        f"ghp_{noise(255)}": "vendor_token",
+        f"AIza{noise(120)}": "vendor_token",
+        f"token={noise(300000)}": "assignment",
+    }
+    out = secret_scan.scan(frame(spark, [(i, f"set {t} end") for i, t in enumerate(cases)]), forest).collect()
+    for r, (text, kind) in zip(sorted(out, key=lambda r: r.doc_id), cases.items()):
+        assert [(f.kind, f.secret) for f in r.findings] == [(kind, True)], text[:30]
+        assert r.cleared in (f"set [{kind}] end", f"set login with [{kind}] end")
+
+
 def test_quality_classifier(spark):
     rnd = random.Random(10)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
