@@ -27,13 +27,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What candidates look like, by kind.
+#: Where a value without quotes ends before a blank: at a separator with another name or secret after it.
+NEXT = r"""[,;&](?:["']?[A-Za-z_][A-Za-z0-9_.\-]*+["']?[=:]|AKIA|gh[pousr]_|xox[abprs]-|AIza|sk_live_|eyJ|-----BEGIN)"""
+#: What candidates look like, by kind. A name may go on after the keyword; what stands before it, as in DB_PASSWORD, stays as text.
 KINDS = {
-    "assignment": r"""\b(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_.\-]{8,}+["']?""",
+    "assignment": rf"""(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[A-Za-z0-9_.\-]*+["']?\s{{0,3}}[=:]\s{{0,3}}(?:"[^"\r\n]{{8,}}+(?<!\\)"|'[^'\r\n]{{8,}}+(?<!\\)'|["']?(?:(?!{NEXT})\S){{8,}}+)""",
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
     "vendor_token": r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_\-]{35,}+|sk_live_[A-Za-z0-9]{24,}+)",
     "web_token": r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
-    "private_key": r"-----BEGIN (?:[A-Z]{2,10} )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}(?:-----END (?:[A-Z]{2,10} )?PRIVATE KEY-----)?",
+    "private_key": r"-----BEGIN (?:[A-Z]{2,10} )?PRIVATE KEY-----(?:\s*+[A-Za-z][A-Za-z0-9\-]*+:[^\r\n]*+)*+[A-Za-z0-9+/=\s]{16,}(?:-----END (?:[A-Z]{2,10} )?PRIVATE KEY-----)?",
 }
 PATTERN = "|".join(KINDS.values())
 #: Words that placeholders are made of, and words near secrets and near other things.
@@ -71,7 +73,7 @@ def _features(value: Column, before: Column, after: Column, kind: Column) -> dic
 
 def _value(candidate: Column) -> Column:
     """What an assignment assigns; of other kinds the whole."""
-    assigned = F.regexp_extract(candidate, r"""(?s)^[A-Za-z_\-]+["']?\s{0,3}[=:]\s{0,3}["']?(.*?)["']?$""", 1)
+    assigned = F.regexp_extract(candidate, r"""(?s)^[A-Za-z0-9_.\-]+["']?\s{0,3}[=:]\s{0,3}["']?(.*?)["']?$""", 1)
     return F.when(_kind(candidate) == "assignment", assigned).otherwise(candidate)
 
 

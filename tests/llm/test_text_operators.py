@@ -406,6 +406,19 @@ def test_long_secrets_go_whole(spark):
         assert r.cleared in (f"set [{kind}] end", f"set login with [{kind}] end")
 
 
+def test_common_forms_of_secrets_are_found(spark):
+    forest = secret_scan.train(secret_scan.training_findings(spark))
+    value = noise(40)
+    cases = {f"{name}={value}": f"{kept}[assignment]" for name, kept in (("DB_PASSWORD", "DB_"), ("GITHUB_TOKEN", "GITHUB_"), ("aws_secret_access_key", "aws_"), ("client_secret", "client_"), ("secret_key", ""), ("app.token.v2", "app."))}
+    for odd in ("Pa$$w0rd!9xQz7Lk2", "x7Qp2Lk9vT4m#Rb8!wZ"):
+        cases |= {f"password={odd}": "[assignment]", f"password: '{odd}'": "[assignment]", f'"password": "{odd}"': '"[assignment]'}
+    cases |= {f"password=example_value_here,AKIA{noise(16, 'QW7ERT2YUP5ADSFG')}": "password=example_value_here,[access_key]", f"user=bob&token={value}&page=2": "user=bob&[assignment]&page=2"}
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{noise(32, '0123456789ABCDEF')}\n\n{noise(64)}\n{noise(64)}\n-----END RSA PRIVATE KEY-----"
+    cases[pem] = "[private_key]"
+    out = secret_scan.scan(frame(spark, [(i, f"set {t} end") for i, t in enumerate(cases)]), forest).collect()
+    assert [r.cleared for r in sorted(out, key=lambda r: r.doc_id)] == [f"set {c} end" for c in cases.values()]
+
+
 def test_quality_classifier(spark):
     rnd = random.Random(10)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
