@@ -244,7 +244,9 @@ def alike(a: str | None, b: str | None, contained: int = 24, ratio: float = 0.86
     short, long = sorted((x, y), key=len)
     if len(short) >= contained and short in long:
         return True
-    return bool(short) and difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() >= ratio
+    matcher = difflib.SequenceMatcher(None, x, y, autojunk=False)
+    # The first two are upper bounds of the third and far cheaper.
+    return bool(short) and matcher.real_quick_ratio() >= ratio and matcher.quick_ratio() >= ratio and matcher.ratio() >= ratio
 
 
 @pandas_function("boolean")

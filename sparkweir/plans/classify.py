@@ -154,7 +154,7 @@ def k_staleness(spark, sf_dir):
 
 @query("K50 K59")
 def k_near_texts(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.substring(x["text"], 1, 200)).alias("texts"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
     one = c.select("conv_id", F.get("texts", F.lit(0)).alias("a"), F.get("texts", F.lit(1)).alias("b"), "texts")
     return one.select("conv_id", rules.near_text("a", "b").alias("alike"), F.size(rules.without_near("texts")).alias("kept"))
 

@@ -165,3 +165,30 @@ def test_checks(spark):
     assert rows(checks.violations(df, {"positive": F.col("v") > 0})) == [("positive", 1)]
     assert rows(checks.duplicates(df, ["k"])) == [(1, 2)]
     assert rows(checks.without_parent(df, "k", spark.createDataFrame([(1,)], "id int"), "id")) == [(2, -1)]
+
+
+def test_near_texts_compare_whole_texts(spark, tmp_path):
+    from sparkweir.plans import REGISTRY
+
+    import difflib
+    import random
+
+    rnd = random.Random(2)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    start, piece = some(200), some(60)
+    talks = {1: [start + some(900), start + some(900)], 2: [some(400) + piece + some(100), piece], 3: [start + "x", start + "x"], 4: [some(300), some(300) + some(300), start]}
+    spark.createDataFrame([(c, i, t) for c, texts in talks.items() for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+
+    def alike(a, b):
+        x, y = sorted((" ".join(t.lower().split()) for t in (a, b)), key=len)
+        return x == y or len(x) >= 24 and x in y or difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.86
+
+    expected = {}
+    for c, texts in talks.items():
+        kept = []
+        for t in texts:
+            if not any(alike(t, k) for k in kept):
+                kept.append(t)
+        expected[c] = (alike(*texts[:2]), len(kept))
+    assert expected[1] == (False, 2) and expected[2] == (True, 1)
+    assert {r.conv_id: (r.alike, r.kept) for r in REGISTRY["k_near_texts"].run(spark, str(tmp_path)).collect()} == expected
