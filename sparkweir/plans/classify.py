@@ -36,7 +36,7 @@ def k_lexical_gate(spark, sf_dir):
 
 
 @query(
-    "K03-K14 K16 K17 K20",
+    "K14 K17 K20",
     f"""WITH d AS (SELECT doc_id, lower(text) AS b FROM documents), f AS (SELECT doc_id, {", ".join(f"{v} AS {k}" for k, v in _FLAGS.items())} FROM d),
         r AS (SELECT *, CASE WHEN money AND NOT contact THEN 'offer' WHEN contact AND english THEN 'lead' WHEN german AND english THEN 'mixed' WHEN romance THEN 'romance' ELSE 'plain' END AS reason FROM f)
         SELECT doc_id, reason, CASE reason WHEN 'offer' THEN 'none' WHEN 'lead' THEN 'good' WHEN 'mixed' THEN 'poor' WHEN 'romance' THEN 'good' ELSE 'poor' END AS fit, CASE reason WHEN 'offer' THEN 'no_go' WHEN 'lead' THEN 'go' WHEN 'mixed' THEN 'maybe' WHEN 'romance' THEN 'maybe' ELSE 'maybe' END AS recommendation,
