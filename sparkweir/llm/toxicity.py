@@ -1,24 +1,29 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Each word has a log-odds score for toxic against other texts, with a Dirichlet
-prior at its rate in all of them; so has each family of words that begin with
-the same characters. A word without enough evidence of its own is judged by
-its family. Less a drift, the scores of ordinary words are
-negative, and a scan in linear time finds every maximal segment of positive
-total. By extreme-value statistics the best segment of n ordinary words
-exceeds x with probability 1 - exp(-K n exp(-lambda x)); segments that are
+Every word has the log-odds of toxic against other texts, by a Dirichlet prior
+over the two kinds: so many occurrences, split as its family's are. A family
+is the words that begin with the same characters; longer beginnings have the
+shorter ones as their prior, and those of four characters the split of all
+texts. A word that the sample doesn't have gets its longest known family's
+log-odds, or 0. Less a drift, the scores of ordinary words are negative, and a
+scan in linear time finds every maximal segment of positive total. By
+extreme-value statistics the best segment of n ordinary words exceeds x with
+probability 1 - exp(-K n exp(-lambda x)), where K and lambda are those that
+make the best segments of ordinary learning rows likeliest; segments that are
 unlikely by this are toxic passages, and the sum of their surprises, through a
 logistic curve fitted on the learning rows, gives the score.
 
 Learning takes a bounded, fixed sample: about SAMPLE rows of each label, three
 quarters for the words and the rest for the background and the curve. What
-comes to the driver are the words of that sample with a clear lean, and two
-numbers for each of its rows.
+comes to the driver are the words of that sample whose log-odds differ from
+their families', and counts of its rows by label, length and finding.
 
 Texts: null and empty ones have no words and get the score of no finding;
-long ones are scanned whole. Rows come one to one. Without labels of both
-kinds in either part nothing is learned and every score is 0. Only the named columns are
-read, so that other columns cannot clash.
+long ones are scanned whole. Rows come one to one, repeated ids included; a
+label of a repeated id is toxic if any of its labels is. Texts that tie get
+one score. Without labels of both kinds in either part nothing is learned and
+every score is 0. An empty table gives an empty result. Only the named columns
+are read, so that other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -36,60 +41,86 @@ from .common import give_back, received, sample_share, send, slices, small_batch
 
 #: About so many labelled rows of each label are learned from.
 SAMPLE = 6000
-#: Weight of the prior, in texts; lean, as the likelihood-ratio statistic, from which a word counts; drift of a word that isn't known.
-PRIOR, LEAN, DRIFT = 2.0, 20.0, 0.7
-#: Lengths of the families' first characters.
-STEMS = (5, 4)
+#: Occurrences that the prior counts for; drift of every word.
+PRIOR, DRIFT = 15.0, 1.2
+#: Lengths of the families' first characters, longest first; each is the prior of the one before.
+STEMS = (8, 6, 5, 4)
+#: A word whose log-odds are so near its family's is left to it.
+NEAR = 0.2
+#: Words whose scores a worker remembers.
+REMEMBERED = 200_000
 #: Segments are toxic passages where so many such are expected in an ordinary text.
 EXPECTED = 0.05
 #: Fixed value: what separates words.
 SPLIT = r"[^\p{L}\p{N}]+"
 
-_words = re.compile(r"[^\W_]+").finditer
+_words = re.compile(r"[^\W_]+")
+
+
+def smoothed(units, n_toxic: float, n_other: float):
+    """(unit, log-odds, its family's log-odds) of (unit, toxic, other) in order of the units.
+
+    toxic, other: how many texts of each kind have the unit. A family's name
+    ends in a star, which comes before every letter and digit, so that
+    families come before what belongs to them.
+    """
+    families: dict[int, tuple[str, float]] = {}
+    for unit, toxic, other in units:
+        start = unit[:-1] if unit.endswith("*") else unit
+        family = 0.0
+        for k in STEMS:
+            if len(start) > k and k in families and families[k][0] == start[:k]:
+                family = families[k][1]
+                break
+        share = 1 / (1 + math.exp(-family) * n_other / n_toxic)
+        odds = math.log((toxic + PRIOR * share) / n_toxic) - math.log((other + PRIOR * (1 - share)) / n_other)
+        if start is not unit:
+            families[len(start)] = start, odds
+        yield unit, odds, family
 
 
 class Model:
-    """scores: log-odds of words and, with a star, of families. rate: share of ordinary words with a positive score."""
+    """scores: log-odds of words and, with a star, of families."""
 
     def __init__(self, scores: dict[str, float]):
-        self.words = {w: s for w, s in scores.items() if not w.endswith("*")}
-        self.stems = {w[:-1]: s for w, s in scores.items() if w.endswith("*")}
+        self.scores, self.seen = scores, {}
         self.decay, self.scale, self.offset, self.slope = 1.0, 1e-3, 0.0, 1.0
 
-    def hits(self, text: str) -> tuple[int, list[tuple[int, int, int, float]]]:
-        """The number of words, and (index, start, end, score) of those above the drift."""
-        words, stems, found, n = self.words, self.stems, [], 0
-        for m in _words(text):
-            word = m.group()
-            score = words.get(word)
-            if score is None:
-                for k in STEMS:
-                    if len(word) > k and word[:k] in stems:
-                        score = stems[word[:k]]
+    def net(self, word: str) -> float:
+        """A word's log-odds less the drift."""
+        score = self.scores.get(word)
+        if score is None:
+            for k in STEMS:
+                if len(word) > k:
+                    score = self.scores.get(word[:k] + "*")
+                    if score is not None:
                         break
-            if score is not None:
-                found.append((n, m.start(), m.end(), score))
-            n += 1
-        return n, found
+            else:
+                score = 0.0
+        if len(self.seen) >= REMEMBERED:
+            self.seen.clear()
+        self.seen[word] = score - DRIFT
+        return score - DRIFT
+
+    def nets(self, text: str) -> list[float]:
+        seen, net = self.seen.get, self.net
+        return [net(w) if (x := seen(w)) is None else x for w in _words.findall(text)]
 
     @staticmethod
-    def segments(hits) -> list[tuple[float, int, int]]:
-        """(total, start, end) of every maximal segment, in order of the text; linear in the hits.
+    def segments(nets: list[float]) -> list[tuple[float, int, int]]:
+        """(total, first word, end) of every maximal segment, in order of the text; linear in the words.
 
-        Words between hits score -DRIFT each. Each candidate keeps the running
-        total before (low) and after (high) it; a new one joins back to the
-        latest candidate with a smaller low, if that one's high is smaller.
+        Each candidate keeps the running total before (low) and after (high)
+        it; a new one joins back to the latest candidate with a smaller low,
+        if that one's high is smaller.
         """
-        out: list[list] = []  # low, high, start, end, index of the latest earlier candidate with a smaller low
-        total, last = 0.0, -1
-        for index, start, end, score in hits:
-            total -= DRIFT * (index - last - 1)
-            last = index
-            score -= DRIFT
+        out: list[list] = []  # low, high, first, end, index of the latest earlier candidate with a smaller low
+        total = 0.0
+        for at, score in enumerate(nets):
             if score <= 0:
                 total += score
                 continue
-            new = [total, total + score, start, end, -1]
+            new = [total, total + score, at, at + 1, -1]
             total += score
             while True:
                 j = len(out) - 1
@@ -101,39 +132,50 @@ class Model:
                     break
                 new[0], new[2] = out[j][0], out[j][2]
                 del out[j:]
-        return [(high - low, start, end) for low, high, start, end, _ in out]
+        return [(high - low, first, end) for low, high, first, end, _ in out]
 
-    def findings(self, text: str) -> tuple[float, float, list[tuple[int, int, float]]]:
-        """The sum of the significant segments' surprises, the score, and the passages with their expected numbers."""
-        if not self.words and not self.stems:
+    def best(self, text: str) -> tuple[int, float]:
+        """The number of words, and the largest total of a segment, or 0."""
+        nets = self.nets(text)
+        return len(nets), max((total for total, _, _ in self.segments(nets)), default=0.0)
+
+    def findings(self, text: str, passages: bool = True) -> tuple[float, float, list[tuple[int, int, float]]]:
+        """The sum of the significant segments' surprises, the score, and the passages, as characters, with their expected numbers."""
+        if not self.scores:
             return 0.0, 0.0, []
-        n, hits = self.hits(text)
-        surprise, passages = 0.0, []
-        if hits:
-            for total, start, end in self.segments(hits):
-                log_expected = math.log(self.scale * n) - self.decay * total
-                if log_expected < math.log(EXPECTED):
-                    surprise -= log_expected
-                    passages.append((start, end, math.exp(log_expected)))
+        nets = self.nets(text)
+        surprise, found = 0.0, []
+        for total, first, end in self.segments(nets):
+            log_expected = math.log(self.scale * len(nets)) - self.decay * total
+            if log_expected < math.log(EXPECTED):
+                surprise -= log_expected
+                found.append((first, end, math.exp(log_expected)))
+        if found and passages:
+            places = [m.span() for m in _words.finditer(text)]
+            found = [(places[first][0], places[end - 1][1], expected) for first, end, expected in found]
         z = self.offset + self.slope * math.log1p(surprise)
-        return surprise, 1 / (1 + math.exp(-max(-500.0, min(500.0, z)))), passages
+        return surprise, 1 / (1 + math.exp(-max(-500.0, min(500.0, z)))), found
+
+    def calibrate_background(self, n: np.ndarray, best: np.ndarray, count: np.ndarray) -> None:
+        """lambda and K of greatest likelihood for the best segments of ordinary texts of n words; a best of 0 says that none is positive."""
+        some = best > 0
+        idle = float((count * n)[~some].sum())
+        n, best, count = n[some].astype(float), best[some], count[some]
+        if not count.sum():
+            self.scale = 1e-9
+            return
 
-    def calibrate_background(self, positive: dict[float, float]) -> None:
-        """positive: share of ordinary words by score. Sets lambda, the root of sum p exp(lambda (s - drift)) = 1, and K."""
-        rest = 1 - sum(positive.values())
+        def scale(x):
+            return count.sum() / ((count * n * np.exp(-x * best)).sum() + idle)
 
-        def excess(x):
-            return rest * math.exp(-x * DRIFT) + sum(p * math.exp(min(500.0, x * (s - DRIFT))) for s, p in positive.items()) - 1
+        def slope(x):
+            return count.sum() / x - (count * best).sum() + scale(x) * (count * n * best * np.exp(-x * best)).sum()
 
-        low, high = 1e-6, 1.0
-        while excess(high) < 0 and high < 50:
-            high *= 2
+        low, high = 0.05, 20.0
         for _ in range(60):
             mid = (low + high) / 2
-            low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-        self.decay = min(max(low, 0.05), 3.0)
-        # Where segments are single words, K is the rate at which they begin, weighted back to a total of 0.
-        self.scale = max(1e-6, sum(p * math.exp(min(50.0, self.decay * max(0.0, s - DRIFT))) for s, p in positive.items() if s > DRIFT))
+            low, high = (mid, high) if slope(mid) > 0 else (low, mid)
+        self.decay, self.scale = low, max(1e-9, float(scale(low)))
 
     def calibrate_score(self, surprise: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
         """Logistic curve of the surprise by Newton's method, with a weak pull to 0."""
@@ -147,13 +189,9 @@ class Model:
         self.offset, self.slope = float(w[0]), float(w[1])
 
 
-def _log_odds(toxic: Column, other: Column, n_toxic: float, n_other: float) -> tuple[Column, Column]:
-    """Log-odds with a Dirichlet prior of weight PRIOR at the word's rate in all texts, and the likelihood-ratio statistic."""
-    rate = (toxic + other) / (n_toxic + n_other)
-    a1, a0 = toxic + PRIOR * rate, other + PRIOR * rate
-    odds = F.log(a1 / (n_toxic + PRIOR + 1 - a1)) - F.log(a0 / (n_other + PRIOR + 1 - a0))
-    part = lambda n, size: F.when(n > 0, n * F.log(n / (rate * size))).otherwise(0.0)
-    return odds, 2 * (part(toxic, n_toxic) + part(other, n_other))
+def _family_names(words: Column, k: int) -> Column:
+    """A second parameter of the functions would be taken for an index."""
+    return F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
 
 
 def learn(df: DataFrame, labels: DataFrame, learn_from: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
@@ -168,46 +206,42 @@ def learn(df: DataFrame, labels: DataFrame, learn_from: Column, label_col: str =
     # The ids chosen are bounded by the sample, so that they are sent to the texts.
     texts = stored(read.join(F.broadcast(chosen), "_id").select("_label", "_text", (F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(23)), F.lit(4)) == 0).alias("_later")))
     words = F.array_distinct(F.filter(F.split("_text", SPLIT), lambda w: w != ""))
-    stems = [F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
-    every = texts.where("not _later").select("_label", F.explode(F.array_distinct(F.concat(words, *stems))).alias("unit"))
+    every = texts.where("not _later").select("_label", F.explode(F.array_distinct(F.concat(words, *[_family_names(words, k) for k in STEMS]))).alias("unit"))
     counts = every.groupBy("unit").agg(F.sum("_label").cast("double").alias("toxic"), F.sum(1 - F.col("_label")).cast("double").alias("other"))
     size = {(r["_label"], r["_later"]): float(r["n"]) for r in texts.groupBy("_label", "_later").agg(F.count("*").alias("n")).collect()}
     if len(size) < 4:
         return Model({})
     n1, n0 = size[1, False], size[0, False]
-    odds, lean = _log_odds(F.col("toxic"), F.col("other"), n1, n0)
-    leaning = counts.select("unit", "toxic", odds.alias("score"), lean.alias("lean"))
-    kept = leaning.where((F.col("toxic") >= 2) & (F.col("score") > DRIFT) & (F.col("lean") > LEAN / 3)).collect()  # of a bounded sample
-    family = {r["unit"] for r in kept if r["unit"].endswith("*") and r["lean"] > LEAN}
-    scores = {}
-    for r in kept:
-        unit = r["unit"]
-        backed = not unit.endswith("*") and any(unit[:k] + "*" in family for k in STEMS)
-        if r["lean"] > LEAN or backed:
-            scores[unit] = r["score"]
-    model = Model(scores)
+
+    def smoother(batches):
+        units = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        kept: list[tuple[str, float]] = []
+        for unit, odds, family in smoothed(units, n1, n0):
+            if abs(odds - family) > NEAR:
+                kept.append((unit, odds))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.string()), pa.array([x[1] for x in kept], pa.float64())], ["unit", "score"])
+
+    # A family and what belongs to it share their first characters, and so a partition.
+    families = counts.repartition(F.substring("unit", 1, min(STEMS))).sortWithinPartitions("unit")
+    scored = families.mapInArrow(smoother, "unit string, score double")
+    model = Model({r["unit"]: r["score"] for r in scored.collect()})  # of a bounded sample
     sent = send(df.sparkSession, model)
 
     def background(batches):
         model = received(sent)
         for batch in batches:
-            rows = []
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, hits = model.hits(text)
-                rows.append((label, n, [round(h[3], 1) for h in hits] if label == 0 else []))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["label", "n", "scores"])
+            found = [model.best(text) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64())], ["n", "best"])
 
     later = texts.where("_later").select("_label", "_text")
-    seen = later.mapInArrow(background, "label int, n long, scores array<double>").where("label = 0")
-    n_words = seen.agg(F.sum("n")).first()[0] or 1
-    positive = {r["s"]: r["n"] / n_words for r in seen.select(F.explode("scores").alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
-    model.calibrate_background(positive)
+    seen = later.where("_label = 0").mapInArrow(background, "n long, best double").select("n", F.round("best", 2).alias("best")).groupBy("n", "best").count().collect()  # of a bounded sample
+    model.calibrate_background(*(np.array([r[i] for r in seen], float) for i in range(3)))
     sent_again = send(df.sparkSession, model)
 
     def surprises(batches):
         model = received(sent_again)
         for batch in batches:
-            found = [model.findings(text)[0] for text in batch.column(1).to_pylist()]
+            found = [model.findings(text, False)[0] for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["label", "surprise"])
 
     fit = later.mapInArrow(surprises, "label int, surprise double").select("label", F.round("surprise", 2).alias("surprise")).groupBy("label", "surprise").count().collect()
@@ -241,7 +275,7 @@ def score_column(df: DataFrame, model: Model, text_col: str = "text") -> Column:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = received(sent)
         for part in texts:
-            yield pa.array([model.findings(text.as_py() or "")[1] for text in part], pa.float64())
+            yield pa.array([model.findings(text.as_py() or "", False)[1] for text in part], pa.float64())
         give_back()
 
     return run(F.lower(text_col))
