@@ -3,19 +3,22 @@
 One pattern finds candidates; the text between them gives each candidate's
 neighbourhood and place. Features of the candidate: its kind and length,
 transitions between classes of characters, distinct characters, the share that
-words of a dictionary cover, whether it stands in a path or address, and which
-words are near. A random forest, trained on labelled findings, votes; it is
+words of a dictionary cover, the share of runs that look like words, signs of
+code, whether it stands in a path or address, and which words are near. A random forest, trained on labelled findings, votes; it is
 turned into nested conditions, so that texts are scanned and cleared within
 their rows, without a shuffle.
 
 Labelled findings: a table (value, before, after, kind, label). Without one,
-training_findings() makes it by rule: random values in the neighbourhoods of
-secrets, and placeholders, words, counters and digests in theirs.
+training_findings() makes it by rule: random values, and placeholders, prose,
+code, counters and digests. Both stand among the same neighbouring words, the
+ones of their own sort more often; only digests always have words for digests
+near them, as nothing else tells them from hexadecimal secrets.
 
 Texts: null ones stay null and have no findings, as have empty ones; long ones
 are scanned whole. Where candidates overlap, the first is taken. Rows come one
-to one, repeated ids included; an empty table gives an empty result. Columns
-of other names pass by untouched.
+to one, repeated rows and null ids included; an empty table gives an empty
+result. All columns pass by untouched; a result that would take the name of
+one of them is refused.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Where a value without quotes ends before a blank: at a separator with another name or secret after it.
 NEXT = r"""[,;&](?:["']?[A-Za-z_][A-Za-z0-9_.\-]*+["']?[=:]|AKIA|gh[pousr]_|xox[abprs]-|AIza|sk_live_|eyJ|-----BEGIN)"""
 #: What candidates look like, by kind. A name may go on after the keyword; what stands before it, as in DB_PASSWORD, stays as text.
@@ -47,7 +52,7 @@ AROUND = 48
 #: Trees and depth of the forest, share of votes that makes a secret, labelled findings made for training.
 TREES, DEPTH, VOTES, FINDINGS = 25, 6, 0.5, 4000
 
-FEATURES = ("length", "transitions", "distinct", "digits", "upper", "dictionary", "in_path", "near_secrets", "near_others", "hexadecimal", "assignment", "run")
+FEATURES = ("length", "transitions", "distinct", "digits", "upper", "dictionary", "in_path", "near_secrets", "near_others", "hexadecimal", "assignment", "run", "wordlike", "code")
 
 
 def _features(value: Column, before: Column, after: Column, kind: Column) -> dict[str, Column]:
@@ -68,6 +73,8 @@ def _features(value: Column, before: Column, after: Column, kind: Column) -> dic
         "hexadecimal": value.rlike("^[0-9a-f]+$").cast("double"),
         "assignment": (kind == "assignment").cast("double"),
         "run": value.rlike(r"(.)\1{4}|(?i)abcdef|123456|987654").cast("double"),
+        "wordlike": (F.length(value) - without("[A-Za-z][a-z]{3,}")) / length,
+        "code": (value.rlike(r"[(){}<>\[\]]|^[$%&]|\s") & ~kind.isin("private_key")).cast("double"),
     }
 
 
@@ -86,34 +93,51 @@ def _kind(candidate: Column) -> Column:
 
 def training_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """n labelled findings made by rule, the same ones each time."""
-    pick = lambda salt, options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
+    draw = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m))
+    pick = lambda salt, options: F.element_at(F.array(*map(F.lit, options)), (draw(salt, len(options)) + 1).cast("int"))
     noise = lambda salt: F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(salt)), 512)
-    number = lambda salt, low, high: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(high - low + 1)) + low).cast("int")
-    base = F.regexp_replace(F.base64(F.unhex(noise("b"))), "[^A-Za-z0-9]", "")
+    number = lambda salt, low, high: (draw(salt, high - low + 1) + low).cast("int")
+    cut = lambda value, salt, low, high: F.substring(value, F.lit(1), number(salt, low, high))
+    base = F.regexp_replace(F.concat(*[F.base64(F.unhex(noise(x))) for x in ("b", "c", "d")]), "[^A-Za-z0-9]", "")
     upper = F.upper(F.translate(noise("u"), "0123456789abcdef", "QW7ERT2YUP5ADSFG"))
-    filler = F.concat_ws(" ", F.translate(F.substring(noise("f"), 1, 7), "0123456789", "nioertashl"), F.translate(F.substring(noise("g"), 1, 9), "0123456789", "nioertashl"))
-    real = F.pmod(F.col("id"), F.lit(2)) == 0
-    sort = number("sort", 0, 5)
-    made = lambda value, kind: F.struct(value.alias("value"), F.lit(kind).alias("kind"))
+    signs = F.translate(base, "aAbBcC", "!#%@*+")
+    letters = lambda salt, low, high: cut(F.translate(noise(salt), "0123456789", "nioertashl"), salt + "n", low, high)
+    word = lambda salt: pick(salt, DICTIONARY)
+    plain = lambda salt: F.when(draw(salt + "?", 2) == 0, word(salt)).otherwise(letters(salt, 3, 9))
+    name = lambda salt: F.when(draw(salt + "!", 3) == 0, F.upper(plain(salt))).when(draw(salt + "!", 3) == 1, F.initcap(plain(salt))).otherwise(plain(salt))
+    between = lambda salt: pick(salt, ("_", "-", "."))
+    made = lambda value, kind="assignment": F.struct(value.alias("value"), F.lit(kind).alias("kind"))
+    sort = number("sort", 0, 9)
     secret = (
-        F.when(sort == 0, made(F.substring(noise("h"), F.lit(1), number("hl", 12, 64)), "assignment"))
-        .when(sort == 1, made(F.substring(base, F.lit(1), number("bl", 12, 40)), "assignment"))
+        F.when(sort == 0, made(cut(noise("h"), "hl", 12, 64)))
+        .when(sort == 1, made(cut(base, "bl", 8, 40)))
         .when(sort == 2, made(F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), "access_key"))
-        .when(sort == 3, made(F.concat(pick("v", ["ghp_", "gho_", "sk_live_"]), F.substring(base, 1, 36)), "vendor_token"))
+        .when(sort == 3, made(F.concat(pick("v", ("ghp_", "gho_", "sk_live_", "xoxb-", "AIza")), cut(base, "vl", 36, 120)), "vendor_token"))
         .when(sort == 4, made(F.concat(F.lit("eyJ"), F.substring(base, 1, 20), F.lit("."), F.substring(base, 20, 30), F.lit("."), F.substring(base, 5, 40)), "web_token"))
-        .otherwise(made(F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), base, F.lit("\n-----END PRIVATE KEY-----")), "private_key"))
+        .when(sort == 5, made(F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), base, F.lit("\n-----END PRIVATE KEY-----")), "private_key"))
+        .when(sort.isin(6, 7), made(cut(signs, "sl", 8, 24)))
+        .when(sort == 8, made(F.repeat(base, number("rl", 1, 12))))
+        .otherwise(made(F.concat(F.lit("eyJ"), base, F.lit("."), base)))
     )
-    word = lambda salt: pick(salt, DICTIONARY)
     other = (
-        F.when(sort == 0, made(F.concat(word("w1"), pick("j", ["_", "-", "."]), word("w2"), pick("j2", ["_", "-", "."]), word("w3")), "assignment"))
-        .when(sort == 1, made(F.concat(word("w4"), F.repeat(pick("r", ["x", "0", "*", "-", "1"]), 12)), "assignment"))
+        F.when(sort == 0, made(F.concat(word("w1"), between("j"), word("w2"), between("j2"), word("w3"))))
+        .when(sort == 1, made(F.concat(word("w4"), F.repeat(pick("r", ("x", "0", "*", "-", "1")), 12))))
         .when(sort == 2, made(F.concat(F.lit("AKIA"), F.substring(upper, 1, 9), F.lit("EXAMPLE")), "access_key"))
-        .when(sort == 3, made(F.concat(F.lit("ghp_"), F.repeat(pick("r2", ["x", "0", "a"]), 36)), "vendor_token"))
-        .when(sort == 4, made(F.substring(noise("c"), F.lit(1), pick("cl", [32, 40, 64])), "assignment"))
-        .otherwise(made(F.concat(word("w5"), F.lit("_1234567890"), word("w6")), "assignment"))
+        .when(sort == 3, made(F.concat(F.lit("ghp_"), F.repeat(pick("r2", ("x", "0", "a")), 36)), "vendor_token"))
+        .when(sort == 4, made(F.substring(noise("c"), F.lit(1), pick("cl", (32, 40, 64)))))
+        .when(sort == 5, made(F.concat(word("w5"), F.lit("_1234567890"), word("w6"))))
+        .when(sort == 6, made(F.concat(pick("o1", ("", "(", "the-")), letters("p1", 8, 14), pick("o2", ("", ",", ".", "),", ";")))))
+        .when(sort == 7, made(F.concat_ws(" ", letters("p2", 3, 8), name("p3"), letters("p4", 3, 9), name("p5"))))
+        .when(sort == 8, made(F.concat(pick("o3", ("${", "<", "{{", "$(", "%(", "[")), name("p6"), between("j3"), name("p7"), pick("o4", ("}", ">", "}}", ")", ")s", "]")))))
+        .otherwise(made(F.concat(letters("p8", 2, 7), pick("j4", ("_", "-", ".", "")), name("p9"), pick("o5", ("[", "(", "_", ".", "['", "(&")), name("p10"), pick("j5", ("_", "-", ".", "")), name("p11"), pick("o6", ("]", ")", "", "()", "']", ");")))))
     )
-    digest_like = ~real & (sort == 4)
-    near = F.when(real, pick("n1", ["", "", "the", "login with", "set", "bearer"])).when(digest_like, pick("n2", ["commit", "sha256 checksum", "md5", "revision", "digest"])).otherwise(pick("n3", ["", "", "for example", "sample", "placeholder", "e.g", "see docs/config/"]))
+    real = F.pmod(F.col("id"), F.lit(2)) == 0
+    of_secrets, of_others = ("the", "login with", "set", "bearer", "auth", "secret"), ("for example", "sample", "placeholder", "e.g", "see docs/config/", "version")
+    digests = ("commit", "sha256 checksum", "md5", "revision", "digest")
+    likely = F.when(real, pick("n1", of_secrets)).otherwise(pick("n2", of_others))
+    unlikely = F.when(real, pick("n3", of_others + digests)).otherwise(pick("n4", of_secrets))
+    near = F.when(~real & (sort == 4), pick("n5", digests)).when(draw("n", 20) < 12, "").when(draw("n", 20) < 18, likely).otherwise(unlikely)
+    filler = F.concat_ws(" ", letters("f", 2, 7), letters("g", 2, 9))
     return spark.range(n).select(F.when(real, secret).otherwise(other).alias("s"), F.concat_ws(" ", filler, near, F.lit("")).alias("before"), F.lit(" ").alias("after"), real.cast("double").alias("label")).select("s.value", "before", "after", "s.kind", "label")
 
 
@@ -144,26 +168,43 @@ def votes(forest: list, value_of) -> Column:
     return reduce(lambda a, b: a + b, [vote(tree) for tree in forest]) / float(len(forest))
 
 
-def scan(df: DataFrame, forest: list, text_col: str = "text", least: float = VOTES) -> DataFrame:
-    """df with `findings` (candidates with start, end, kind, votes, secret; places in characters from 0) and `cleared`, the text with [kind] for each secret."""
+#: Steps that a running sum takes at a time, so that its cost stays far from the square of their number.
+TOGETHER = 64
+
+
+def _sums(steps: Column) -> Column:
+    """Running sums of a short array of integers."""
+    return F.aggregate(steps, F.array().cast("array<int>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + x)))
+
+
+def scan(df: DataFrame, forest: list, text_col: str = "text", least: float = VOTES, findings_col: str = "findings", cleared_col: str = "cleared") -> DataFrame:
+    """df with findings_col (candidates with start, end, kind, votes, secret; places in characters from 0) and cleared_col, the text with [kind] for each secret."""
+    if clash := {findings_col.lower(), cleared_col.lower()} & {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has columns {sorted(clash)}")
     text = F.col(text_col)
     empty = F.array().cast("array<string>")
-    df = df.withColumn("_found", F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), empty))
-    df = df.withColumn("_between", F.when(F.size("_found") > 0, F.split(text, PATTERN, -1)).otherwise(empty))
-
-    def candidate(found, i):
-        before, after = F.get("_between", i), F.get("_between", i + 1)
-        return F.struct(found.alias("found"), _value(found).alias("value"), _kind(found).alias("kind"), F.right(before, F.lit(AROUND)).alias("before"), F.left(after, F.lit(AROUND)).alias("after"), (F.length(before) + F.length(found)).alias("step"), F.length(found).alias("length"))
-
-    df = df.withColumn("_candidates", F.transform("_found", candidate))
-    df = df.withColumn("_measured", F.transform("_candidates", lambda c: F.struct(*[f.cast("double").alias(n) for n, f in _features(c["value"], c["before"], c["after"], c["kind"]).items()])))
-    df = df.withColumn("_votes", F.transform("_measured", lambda m: votes(forest, lambda name: m[name])))
-    start = F.aggregate("_candidates", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")), lambda s, c: F.struct((s["at"] + c["step"]).alias("at"), F.concat(s["ends"], F.array(s["at"] + c["step"])).alias("ends")))["ends"]
-    df = df.withColumn("_ends", start)
+    found, between, candidates, measured, vote, blocks, offsets, ends = names = unused(df, "_found", "_between", "_candidates", "_measured", "_votes", "_blocks", "_offsets", "_ends")
+    columns = df.columns
+    df = df.withColumn(found, F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), empty))
+    df = df.withColumn(between, F.when(F.size(found) > 0, F.split(text, PATTERN, -1)).otherwise(empty))
+
+    def candidate(value, i):
+        before, after = F.get(between, i), F.get(between, i + 1)
+        return F.struct(value.alias("found"), _value(value).alias("value"), _kind(value).alias("kind"), F.right(before, F.lit(AROUND)).alias("before"), F.left(after, F.lit(AROUND)).alias("after"), (F.length(before) + F.length(value)).alias("step"), F.length(value).alias("length"))
+
+    df = df.withColumn(candidates, F.transform(found, candidate))
+    df = df.withColumn(measured, F.transform(candidates, lambda c: F.struct(*[f.cast("double").alias(n) for n, f in _features(c["value"], c["before"], c["after"], c["kind"]).items()])))
+    df = df.withColumn(vote, F.transform(measured, lambda m: votes(forest, lambda name: m[name])))
+    # Where candidates end: running sums within blocks, and of the blocks' totals.
+    count = F.size(candidates)
+    starts = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)), F.lit(TOGETHER))).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn(blocks, F.transform(starts, lambda b: _sums(F.transform(F.slice(candidates, b, F.lit(TOGETHER)), lambda c: c["step"]))))
+    df = df.withColumn(offsets, _sums(F.transform(blocks, lambda b: F.try_element_at(b, F.lit(-1)))))
+    df = df.withColumn(ends, F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: x + F.coalesce(F.get(offsets, i - 1), F.lit(0))))))
     findings = F.transform(
-        "_candidates",
-        lambda c, i: F.struct((F.get("_ends", i) - c["length"]).alias("start"), F.get("_ends", i).alias("end"), c["kind"].alias("kind"), F.get("_votes", i).alias("votes"), (F.get("_votes", i) >= least).alias("secret")),
+        candidates,
+        lambda c, i: F.struct((F.get(ends, i) - c["length"]).alias("start"), F.get(ends, i).alias("end"), c["kind"].alias("kind"), F.get(vote, i).alias("votes"), (F.get(vote, i) >= least).alias("secret")),
     )
-    parts = F.transform("_between", lambda b, i: F.concat(b, F.when(F.get("_votes", i) >= least, F.concat(F.lit("["), F.get("_candidates", i)["kind"], F.lit("]"))).otherwise(F.coalesce(F.get("_found", i), F.lit("")))))
-    cleared = F.when(F.size("_found") > 0, F.array_join(parts, "")).otherwise(text)
-    return df.withColumn("findings", findings).withColumn("cleared", cleared).drop("_found", "_between", "_candidates", "_measured", "_votes", "_ends")
+    parts = F.transform(between, lambda b, i: F.concat(b, F.when(F.get(vote, i) >= least, F.concat(F.lit("["), F.get(candidates, i)["kind"], F.lit("]"))).otherwise(F.coalesce(F.get(found, i), F.lit("")))))
+    cleared = F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text)
+    return df.withColumn(findings_col, findings).withColumn(cleared_col, cleared).drop(*names).select(*columns, findings_col, cleared_col)
