@@ -8,13 +8,15 @@ the slices makes likely, and the language with the largest count wins.
 
 Learning: the n-grams of a bounded, fixed sample of labelled rows (SAMPLE per
 language, by a hash of the id), of which a language keeps those that are at
-least a tenth as frequent in it as in any other.
+least a tenth as frequent in it as in any other. They are turned into slots
+where they are, so that what comes to the driver is bounded by the filter.
 
 Texts: null, empty ones and those without a letter get `und` and 0, as does
 every text where nothing could be learned. A text whose n-grams are all
 unknown gets the language of most learning rows and 0. Ties go to the language
-with more learning rows, then to the first by name. Rows come one to one. Only
-the named columns are read, so that other columns cannot clash.
+with more learning rows, then to the first by name. Rows come one to one,
+repeated and null ids included; empty tables give an empty result. Only the
+named columns are read, so that other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -53,21 +55,26 @@ _BLANK = 0x20202020
 
 
 def _stretches(texts: list[bytes]):
-    """(bytes, starts) of texts set between spaces, so many at a time; of long ones a part, with the overlap that n-grams need. Also the index of the first text."""
+    """Texts, each between two spaces, so many at a time, or a part of a long one: the index of the first, the n-grams, where each text's begin, and which of them lie within one text and aren't blank."""
     at = 0
     while at < len(texts):
         first, size = at, 0
         while at < len(texts) and (at == first or size + len(texts[at]) <= SLICE):
-            size += len(texts[at]) + 2
+            size += len(texts[at]) + 3
             at += 1
         if at - first == 1 and size > SLICE:
             whole = b" " + texts[first] + b" "
-            for i in range(0, len(whole), SLICE):
-                yield first, np.frombuffer(whole[i : i + SLICE + N - 1], np.uint8), np.zeros(1, np.int64)
+            for i in range(0, len(whole) - N + 1, SLICE):
+                grams = _grams(np.frombuffer(whole[i : i + SLICE + N - 1], np.uint8))
+                yield first, grams, np.zeros(1, np.int64), grams != _BLANK
         else:
-            joined = b" " + b"  ".join(texts[first:at]) + b"    "
-            lengths = np.array([len(x) + 2 for x in texts[first:at]], np.int64)
-            yield first, np.frombuffer(joined, np.uint8), np.append(0, np.cumsum(lengths)[:-1])
+            lengths = np.array([len(x) for x in texts[first:at]], np.int64)
+            grams = _grams(np.frombuffer(b" " + b"   ".join(texts[first:at]) + b"     ", np.uint8))
+            starts = np.append(0, np.cumsum(lengths + 3)[:-1])
+            inside = grams != _BLANK
+            past = (starts + lengths)[:, None] + np.arange(-1, 3)  # n-grams that reach beyond the space after the text
+            inside[past[(past >= starts[:, None]) & (past < len(grams))]] = False
+            yield first, grams, starts, inside
 
 
 def _counter(batches):
@@ -77,17 +84,24 @@ def _counter(batches):
         for lang in sorted(set(langs)):
             found, seen = [], []
             own = [x for x, y in zip(texts, langs) if y == lang]
-            for _, data, _ in _stretches(own):
-                if len(data) >= N:
-                    grams, n = np.unique(_grams(data), return_counts=True)
-                    found.append(grams)
-                    seen.append(n)
+            for _, grams, _, inside in _stretches(own):
+                grams, n = np.unique(grams[inside], return_counts=True)
+                found.append(grams)
+                seen.append(n)
             if found:
                 grams, place = np.unique(np.concatenate(found), return_inverse=True)
                 n = np.bincount(place, np.concatenate(seen)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
+def _probes(grams: np.ndarray, shift: int):
+    """The slots of n-grams, probe by probe."""
+    grams = grams.astype(np.uint32)
+    mixed = grams ^ (grams >> np.uint32(15))
+    for m in _MULTIPLIERS[:PROBES]:
+        yield (mixed * np.uint32(m)) >> np.uint32(shift)
+
+
 class Filter:
     """Bit-sliced Bloom filter; languages in order of preference."""
 
@@ -96,10 +110,7 @@ class Filter:
         self.masks = np.zeros((-(-len(languages) // 64), 1 << slots), np.uint64)
 
     def _probes(self, grams: np.ndarray):
-        grams = grams.astype(np.uint32)
-        mixed = grams ^ (grams >> np.uint32(15))
-        for m in _MULTIPLIERS[:PROBES]:
-            yield (mixed * np.uint32(m)) >> np.uint32(self.shift)
+        return _probes(grams, self.shift)
 
     def add(self, language: int, grams: np.ndarray) -> None:
         for at in self._probes(grams):
@@ -114,12 +125,8 @@ class Filter:
     def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Per text and language the n-grams that the language contains, and all n-grams that aren't blank."""
         hits, every = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        for first, data, starts in _stretches(texts):
-            if len(data) < N:
-                continue
-            grams = _grams(data)
-            starts = starts[starts < len(grams)]
-            some = (grams != _BLANK).astype(np.int64)
+        for first, grams, starts, inside in _stretches(texts):
+            some = inside.astype(np.int64)
             span = slice(first, first + len(starts))
             every[span] += np.add.reduceat(some, starts)
             probes = list(self._probes(grams))
@@ -152,7 +159,6 @@ def learn(df: DataFrame, learn_from: Column, lang_col: str = "lang", id_col: str
     read = rows.where(sample_share(id_col, share)).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
     counts = read.mapInArrow(_counter, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     found = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by")).where(f"gram <> {_BLANK}")
-    place = {lang: i for i, lang in enumerate(languages)}
     each = counts.where(f"gram <> {_BLANK}").groupBy("lang").agg(F.sum("n").alias("n")).collect()
     size = {r["lang"]: r["n"] for r in each}
     rates = F.transform("by", lambda x: F.struct(x["lang"].alias("lang"), (x["n"] / F.element_at(F.create_map(*[F.lit(y) for lang in languages for y in (lang, float(size.get(lang, 1)))]), x["lang"])).alias("rate"), x["n"].alias("n")))
@@ -162,15 +168,21 @@ def learn(df: DataFrame, learn_from: Column, lang_col: str = "lang", id_col: str
         .where(F.size("by") > 0)
         .select("gram", F.transform("by", lambda x: x["lang"]).alias("langs"))
     )
-    held: dict[int, list[int]] = {}
-    for r in kept.collect():  # of a bounded sample
-        for lang in r["langs"]:
-            held.setdefault(place[lang], []).append(r["gram"])
-    for i, grams in held.items():
-        out.add(i, np.array(grams, np.int64))
+    place = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
+    masks = kept.select("gram", F.explode(F.transform("langs", lambda x: F.element_at(place, x))).alias("language")).groupBy("gram", F.shiftright("language", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, language % 64)")).alias("mask"))
+    slots = masks.mapInArrow(_slotter, "word int, slot int, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # of each 64 languages no more rows than slots
+    word, slot, mask = (slots.column(i).to_numpy() for i in range(3))
+    out.masks[word, slot] = mask.view(np.uint64)
     return out.seal()
 
 
+def _slotter(batches):
+    for batch in batches:
+        word, grams, mask = batch.column(1), batch.column(0).to_numpy(), batch.column(2)
+        for slots in _probes(grams, 32 - SLOTS):
+            yield pa.RecordBatch.from_arrays([word, pa.array(slots.astype(np.int32)), mask], ["word", "slot", "mask"])
+
+
 def _decider(sent):
     def run(batches):
         model = received(sent)
