@@ -4,14 +4,17 @@ One weight vector over hashed features of the text and a rising row of
 thresholds: P(grade > j) = logistic(w x - threshold j). They give the expected
 grade and the probability of a grade of at least KEEP_GRADE, by which texts
 are selected. The features are the shares of hashed stretches of bytes and of
-character classes, and of words that repeat the one before or any earlier one.
+character classes, and of words that repeat the one before or any earlier one,
+in half precision for learning and judging alike.
 
 Learning takes a bounded, fixed sample of the labelled rows (about SAMPLE per
 grade, by a hash of the id); its feature vectors come to the driver. Each
 grade counts as often as in all labelled rows.
 
 Texts: null and empty ones have no features and get the grade of the
-intercept; long ones are read whole, in slices. Rows come one to one. With
+intercept; long ones are read whole, in slices. Rows come one to one, repeated
+and null ids included; texts that tie get the same grade. Empty tables give an
+empty result. With
 labels of fewer than two grades nothing is learned: the expected grade is that
 grade, or 0, and everything is kept. Null grades are ignored. Only the named
 columns are read, so that other columns cannot clash.
@@ -60,7 +63,25 @@ def features(text: bytes | None) -> np.ndarray:
     if words:
         out[-2] = 2 * sum(map(bytes.__eq__, words, words[1:])) / len(words)
         out[-1] = 2 * (1 - len(set(words)) / len(words)) if len(words) > 1 else 0
-    return out
+    return out.astype(np.float16)
+
+
+def loss(w: np.ndarray, raw: np.ndarray, x: np.ndarray, level: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """The decayed negative log-likelihood and its gradient, by weights and then by raw: the first threshold and the logarithms of the steps."""
+    rows, k = np.arange(len(x)), len(raw)
+    gaps = np.exp(raw[1:])
+    t = raw[0] + np.append(0, np.cumsum(gaps))
+    s = x @ w
+    low = np.concatenate([np.full((len(x), 1), 0.0), 1 / (1 + np.exp(-np.clip(t[None, :] - s[:, None], -30, 30))), np.full((len(x), 1), 1.0)], axis=1)
+    density = low * (1 - low)
+    p = np.maximum(low[rows, level + 1] - low[rows, level], 1e-9)
+    upper, lower = density[rows, level + 1] / p, density[rows, level] / p
+    g_s = weight * (upper - lower)
+    g_t = np.zeros(k + 2)
+    np.add.at(g_t, level + 1, -weight * upper)
+    np.add.at(g_t, level, weight * lower)
+    tail = np.cumsum(g_t[1:-1][::-1])[::-1]
+    return float(-(weight * np.log(p)).sum() + DECAY / 2 * w @ w), np.concatenate([x.T @ g_s + DECAY * w, [tail[0]], tail[1:] * gaps])
 
 
 class Model:
@@ -84,22 +105,8 @@ class Model:
         raw = np.append(start[0], np.log(np.maximum(np.diff(start), 1e-2)))
         w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1] + k), np.zeros(x.shape[1] + k)
         weight = weight / weight.sum()
-        rows = np.arange(len(x))
         for step in range(1, STEPS + 1):
-            gaps = np.exp(raw[1:])
-            t = raw[0] + np.append(0, np.cumsum(gaps))
-            s = x @ w
-            low = np.concatenate([np.full((len(x), 1), 0.0), 1 / (1 + np.exp(-np.clip(t[None, :] - s[:, None], -30, 30))), np.full((len(x), 1), 1.0)], axis=1)
-            density = low * (1 - low)
-            p = np.maximum(low[rows, level + 1] - low[rows, level], 1e-9)
-            upper, lower = density[rows, level + 1] / p, density[rows, level] / p
-            g_s = weight * (upper - lower)  # of the negative log-likelihood, by s
-            g_t = np.zeros(k + 2)
-            np.add.at(g_t, level + 1, -weight * upper)
-            np.add.at(g_t, level, weight * lower)
-            g_t = g_t[1:-1]
-            tail = np.cumsum(g_t[::-1])[::-1]
-            gradient = np.concatenate([x.T @ g_s + DECAY * w, [tail[0]], tail[1:] * gaps])
+            gradient = loss(w, raw, x, level, weight)[1]
             m = 0.9 * m + 0.1 * gradient
             v = 0.999 * v + 0.001 * gradient**2
             move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -121,7 +128,7 @@ class Model:
 
 def _vectors(batches):
     for batch in slices(batches, 1):
-        found = [features(text.as_py()).astype(np.float16).tobytes() for text in batch.column(1)]
+        found = [features(text.as_py()).tobytes() for text in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["grade", "x"])
 
 
@@ -155,7 +162,7 @@ def _judge(sent, keep_grade: int):
             grades, tails = [], []
             texts = batch.column(1)
             for i in range(0, batch.num_rows, 256):
-                x = np.stack([features(text.as_py()) for text in texts[i : i + 256]])
+                x = np.stack([features(text.as_py()) for text in texts[i : i + 256]]).astype(np.float32)
                 grade, tail = model.judge(x, keep_grade)
                 grades.append(grade)
                 tails.append(tail)
