@@ -5,10 +5,14 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import pickle
+import re
 import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +29,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names of columns that df doesn't have, made from these."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what spark.checkpoint.dir names; where that is unset, as in tests,
-    a temporary folder is made and set.
+    It is what spark.checkpoint.dir names. Where that is unset and all runs in
+    one process, as in tests, a temporary folder is made and set; on a cluster
+    it must be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = made.get() if made.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
+        if made.isDefined():
+            folder = made.get()
+        elif re.match(r"local($|\[)", spark.sparkContext.master):
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: The tables that stored() has written within the innermost scratch().
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again.
 
@@ -48,25 +74,42 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession) -> None:
-    """Deletes the tables that stored() has written in this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def scratch(spark: SparkSession):
+    """A function that deletes the tables written by stored() since the block began, but for the last one; what is left lazy must not read the others."""
+    paths: list[str] = []
+    token = _written.set(paths)
+
+    def clear() -> None:
+        for path in paths[:-1]:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        del paths[:-1]
+
+    try:
+        yield clear
+    finally:
+        _written.reset(token)
+
+
+#: Bytes, as sent, of what a Python worker keeps from task to task.
+KEPT_BYTES = 256 << 20
 
 
-def once_per_process(key: str, build):
-    """build(), kept for the life of a Python worker, over its tasks."""
+def once_per_process(key: str, build, size: int = 0):
+    """build(), kept for the life of a Python worker, over its tasks; the oldest go where sizes come to more than KEPT_BYTES."""
     registry = sys.modules.setdefault("_kept_by_llm_operators", types.ModuleType("_kept_by_llm_operators"))
     held = registry.__dict__.setdefault("held", {})
     if key not in held:
-        if len(held) > 8:
-            held.clear()
-        held[key] = build()
-    return held[key]
+        while held and sum(n for _, n in held.values()) + size > KEPT_BYTES:
+            del held[next(iter(held))]
+        held[key] = build(), size
+    return held[key][0]
 
 
 #: Bytes of rows that Spark sends to a Python worker at a time, where the session allows more.
@@ -110,14 +153,23 @@ def slices(batches, column: int, size: int = 4_000_000):
     give_back()
 
 
-def send(spark: SparkSession, model) -> Broadcast:
+@dataclass(frozen=True)
+class Sent:
+    """A broadcast model and the name that workers know it by."""
+
+    key: str
+    content: Broadcast
+
+
+def send(spark: SparkSession, model) -> Sent:
     """A model for the executors, whose workers need not be able to import its class."""
-    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    raw = cloudpickle.dumps(model)
+    return Sent(hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw))
 
 
-def received(sent: Broadcast):
-    raw = sent.value
-    return once_per_process(hashlib.sha256(raw).hexdigest(), lambda: pickle.loads(raw))
+def received(sent: Sent):
+    raw = sent.content.value
+    return once_per_process(sent.key, lambda: pickle.loads(raw), len(raw))
 
 
 def id_bucket(id_col: str | Column, modulus: int = 3) -> Column:

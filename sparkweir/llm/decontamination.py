@@ -19,19 +19,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, received, send, slices, small_batches
+from .common import Sent, give_back, received, send, slices, small_batches
 
 #: Fixed by the contract: what may stand between words.
 BETWEEN = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Words of items in one automaton; further items go to further automata.
 BLOCK_WORDS = 150_000
+#: Automata that a worker holds at a time; the texts are read once for so many.
+AT_ONCE = 4
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -157,14 +159,28 @@ class Automaton:
 SCANNED = "n_words long, spans array<struct<first:int,end:int>>, items array<string>"
 
 
-def _scanner(sent):
+def joined(spans: list) -> list[list[int]]:
+    """Runs of words of several scans, ascending and apart."""
+    out: list[list[int]] = []
+    for first, end in sorted(spans):
+        if out and out[-1][1] >= first:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([first, end])
+    return out
+
+
+def _scanner(group: list[Sent]):
     def run(batches):
-        automaton = received(sent)
+        automata = [received(sent) for sent in group]
         for batch in slices(batches, 1):
             counts, spans, items = [], [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
-                runs, found = automaton.scan(words)
+                runs, found = automata[0].scan(words)
+                for automaton in automata[1:]:
+                    more, others = automaton.scan(words)
+                    runs, found = joined(runs + more) if more else runs, found | others
                 counts.append(len(words))
                 spans.append([{"first": a, "end": b} for a, b in runs])
                 items.append(sorted(found))
@@ -192,67 +208,66 @@ def _blocks(items):
         yield block
 
 
-def _automata(spark: SparkSession, benchmark: DataFrame, window: int, item_col: str, item_text_col: str) -> list[Broadcast]:
+def _automata(spark: SparkSession, benchmark: DataFrame, window: int, item_col: str, item_text_col: str) -> list[list[Sent]]:
+    """Automata in groups of AT_ONCE."""
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("text"))
-    return [send(spark, Automaton(block, window)) for block in _blocks(items.toLocalIterator())] or [send(spark, Automaton([], window))]
+    sent = [send(spark, Automaton(block, window)) for block in _blocks(items.toLocalIterator())] or [send(spark, Automaton([], window))]
+    return [sent[i : i + AT_ONCE] for i in range(0, len(sent), AT_ONCE)]
+
+
+def _merger(batches):
+    """Findings of several groups for one text as one."""
+    for batch in batches:
+        spans = [[{"first": a, "end": b} for a, b in joined([(s["first"], s["end"]) for part in parts for s in part])] for parts in batch.column(2).to_pylist()]
+        items = [sorted({item for part in parts for item in part}) for parts in batch.column(3).to_pylist()]
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
 
 
 def scan(df: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, n_words, spans, items): the runs of hit words, and the items, as sorted strings, whose windows occur.
 
     The items come to the driver partition by partition and are cut into
-    automata of a bounded size, each of which is sent to the executors; with
-    more than one, the documents are scanned with each and the findings merged.
+    automata of a bounded size, each of which is sent to the executors. The
+    documents are scanned once for each AT_ONCE of them, which bounds what a
+    worker holds, and the findings are merged.
     """
-    automata = _automata(df.sparkSession, benchmark, window, item_col, item_text_col)
-    if len(automata) == 1:
+    groups = _automata(df.sparkSession, benchmark, window, item_col, item_text_col)
+    if len(groups) == 1:
         read = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-        return read.mapInArrow(_scanner(automata[0]), f"id {dict(read.dtypes)['id']}, {SCANNED}").withColumnRenamed("id", id_col)
-    # Rows may repeat, so that each is known by its place and not by its id.
+        return read.mapInArrow(_scanner(groups[0]), f"id {dict(read.dtypes)['id']}, {SCANNED}").withColumnRenamed("id", id_col)
+    # Rows may repeat, so that each is known by its place, too, and not by its id alone.
     read = df.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    kind = f"id {read.select('id').schema[0].dataType.simpleString()}, {SCANNED}"
-    parts = [read.mapInArrow(_scanner(x), kind) for x in automata]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy("id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    joined = F.expr("""aggregate(spans, cast(array() as array<struct<first:int,end:int>>), (acc, s) ->
-        case when size(acc) > 0 and element_at(acc, -1).end >= s.first
-             then concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'end', greatest(element_at(acc, -1).end, s.end))))
-             else concat(acc, array(s)) end)""")
-    return merged.select(F.col("id.id").alias(id_col), "n_words", joined.alias("spans"), "items")
+    kind = f"id {read.select('id').schema[0].dataType.simpleString()}"
+    every = reduce(DataFrame.unionByName, [read.mapInArrow(_scanner(group), f"{kind}, {SCANNED}") for group in groups])
+    gathered = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    return gathered.mapInArrow(_merger, f"{kind}, {SCANNED}").select(F.col("id.id").alias(id_col), "n_words", "spans", "items")
 
 
 def marks(df: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Column:
-    """struct(n_words, n_hit) as a column: only the text goes to the Python workers, through each automaton in turn."""
-    automata = _automata(small_batches(df).sparkSession, benchmark, window, item_col, item_text_col)
-
-    @F.arrow_udf("struct<n_words:long,n_hit:long>")
-    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in texts:
-            spans: list[list] = [[] for _ in part]
-            counts = [0] * len(part)
-            for sent in automata:
-                automaton = received(sent)
-                for at, text in enumerate(part):
+    """struct(n_words, n_hit) as a column: only the text goes to the Python workers, once for each AT_ONCE automata."""
+
+    def runs_of(group: list[Sent]) -> Column:
+        @F.arrow_udf("struct<n_words:long,spans:array<struct<first:int,end:int>>>")
+        def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            automata = [received(sent) for sent in group]
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+            for part in texts:
+                counts, spans = [], []
+                for text in part:
                     words = words_of(text.as_py())  # of one text at a time, as they take many times its bytes
-                    counts[at] = len(words)
-                    spans[at] += automaton.scan(words)[0]
-            hits = []
-            for found in spans:
-                hit = reach = 0
-                for first, end in sorted(found):
-                    hit += max(0, end - max(first, reach))
-                    reach = max(reach, end)
-                hits.append(hit)
-            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(hits, pa.int64())], ["n_words", "n_hit"])
-        give_back()
-
-    return run(F.col(text_col).cast("binary"))
+                    counts.append(len(words))
+                    spans.append([{"first": a, "end": b} for a, b in joined([s for automaton in automata for s in automaton.scan(words)[0]])])
+                yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, kind)], ["n_words", "spans"])
+            give_back()
+
+        return run(F.col(text_col).cast("binary"))
+
+    found = F.array(*[runs_of(group) for group in _automata(small_batches(df).sparkSession, benchmark, window, item_col, item_text_col)])
+    # Hit words of runs in order, each counted from where the ones before it ended.
+    start = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("reach"))
+    add = lambda s, x: F.struct((s["hit"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["first"], s["reach"]))).alias("hit"), F.greatest(s["reach"], x["end"]).alias("reach"))
+    return F.transform(F.array(found), lambda f: F.struct(f[0]["n_words"].alias("n_words"), F.aggregate(F.array_sort(F.flatten(F.transform(f, lambda g: g["spans"]))), start, add)["hit"].alias("n_hit")))[0]
 
 
 def n_hit(spans: str = "spans") -> Column:
