@@ -304,7 +304,7 @@ class Vocabulary(Tokens):
 def _encoder(content, pattern: str):
     def run(batches):
         raw = content.value
-        words = once_per_process(f"bpe {hashlib.sha256(raw).hexdigest()} {pattern}", lambda: Vocabulary(raw, pattern))
+        words = once_per_process("bpe", f"{hashlib.sha256(raw).hexdigest()} {pattern}", lambda: Vocabulary(raw, pattern))
         for batch in slices(batches, 1, TOGETHER):
             ids = words.encode_many([(text or b"").decode("utf-8", "replace") for text in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
@@ -315,7 +315,7 @@ def _encoder(content, pattern: str):
 def _decoder(content):
     def run(batches):
         raw = content.value
-        words = once_per_process(f"bpe tokens {hashlib.sha256(raw).hexdigest()}", lambda: Tokens(raw))
+        words = once_per_process("bpe", hashlib.sha256(raw).hexdigest(), lambda: Tokens(raw))
         for batch in slices(batches, 2, TOGETHER):
             plain = [None if x is None else words.decode(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(plain, pa.binary())], ["id", "n_tokens", "ids", "decoded"])

@@ -97,19 +97,21 @@ def scratch(spark: SparkSession):
         _written.reset(token)
 
 
-#: Bytes, as sent, of what a Python worker keeps from task to task.
-KEPT_BYTES = 256 << 20
+#: Things of one kind that a Python worker keeps from task to task.
+KEPT = 4
 
 
-def once_per_process(key: str, build, size: int = 0):
-    """build(), kept for the life of a Python worker, over its tasks; the oldest go where sizes come to more than KEPT_BYTES."""
+def once_per_process(kind: str, key: str, build):
+    """build(), kept for the life of a Python worker, over its tasks: the last KEPT of a kind, until the worker turns to another kind."""
     registry = sys.modules.setdefault("_kept_by_llm_operators", types.ModuleType("_kept_by_llm_operators"))
     held = registry.__dict__.setdefault("held", {})
-    if key not in held:
-        while held and sum(n for _, n in held.values()) + size > KEPT_BYTES:
+    for other in [x for x in held if x[0] != kind]:
+        del held[other]
+    if (kind, key) not in held:
+        while len(held) >= KEPT:
             del held[next(iter(held))]
-        held[key] = build(), size
-    return held[key][0]
+        held[kind, key] = build()
+    return held[kind, key]
 
 
 #: Bytes of rows that Spark sends to a Python worker at a time, where the session allows more.
@@ -155,8 +157,9 @@ def slices(batches, column: int, size: int = 4_000_000):
 
 @dataclass(frozen=True)
 class Sent:
-    """A broadcast model and the name that workers know it by."""
+    """A broadcast model and the names that workers know it by."""
 
+    kind: str
     key: str
     content: Broadcast
 
@@ -164,12 +167,13 @@ class Sent:
 def send(spark: SparkSession, model) -> Sent:
     """A model for the executors, whose workers need not be able to import its class."""
     raw = cloudpickle.dumps(model)
-    return Sent(hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw))
+    kind = f"{type(model).__module__}.{type(model).__name__}"
+    return Sent(kind, hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw))
 
 
 def received(sent: Sent):
     raw = sent.content.value
-    return once_per_process(sent.key, lambda: pickle.loads(raw), len(raw))
+    return once_per_process(sent.kind, sent.key, lambda: pickle.loads(raw))
 
 
 def id_bucket(id_col: str | Column, modulus: int = 3) -> Column:

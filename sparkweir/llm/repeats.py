@@ -79,7 +79,7 @@ def _powers(n: int):
         with np.errstate(over="ignore"):
             return np.cumprod(out, axis=1, dtype=np.uint64)
 
-    return once_per_process(f"powers {n}", build)
+    return once_per_process("powers", str(n), build)
 
 
 def segments(values: np.ndarray, piece: np.ndarray, allowed: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:

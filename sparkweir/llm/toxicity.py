@@ -48,7 +48,7 @@ STEMS = (8, 6, 5, 4)
 #: A word whose log-odds are so near its family's is left to it.
 NEAR = 0.2
 #: Words whose scores a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 #: Segments are toxic passages where so many such are expected in an ordinary text.
 EXPECTED = 0.05
 #: Fixed value: what separates words.
