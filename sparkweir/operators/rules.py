@@ -29,6 +29,11 @@ def flags(text: Column, lexicon: Lexicon) -> dict[str, Column]:
     return {group: contains_any(body, words) for group, words in lexicon.items()}
 
 
+def flagged(text: Column, lexicon: Lexicon) -> Column:
+    """flags() as one struct: the text is normalised once, whatever the number of words and of uses."""
+    return F.transform(F.array(normal(text)), lambda body: F.struct(*[contains_any(body, words).alias(group) for group, words in lexicon.items()]))[0]
+
+
 def gate(title: Column, body: Column, positive: list[str], title_only: list[str], negative: list[str], override: list[str]) -> Column:
     """struct(accepted, hit): a positive word anywhere, or a title word in the title, and no negative word unless an overriding one is there."""
     t, b = normal(title), normal(F.concat_ws(" ", title, body))
@@ -70,7 +75,7 @@ def hard_noise(text: Column, rules: list[tuple[str, list[str]]], core: list[str]
 
 
 def signals(text: Column, lexicon: Lexicon) -> Column:
-    return all_matches(list(flags(text, lexicon).items()))
+    return F.transform(F.array(flagged(text, lexicon)), lambda f: all_matches([(group, f[group]) for group in lexicon]))[0]
 
 
 def tightened(found: Column, reason: Column, kept: dict[str, list[str]]) -> Column:
@@ -80,21 +85,18 @@ def tightened(found: Column, reason: Column, kept: dict[str, list[str]]) -> Colu
 
 def category(title: Column, corpus: Column, markers: list[tuple[str, list[str]]], generic: str = "other") -> Column:
     """The first group with a word in the title; else the group with most words in the corpus, the earlier in a tie; else generic."""
-    t, c = normal(title), normal(corpus)
-    by_title = first_match([(name, contains_any(t, words)) for name, words in markers])
-
-    def occurrences(words):
-        return reduce(lambda a, b: a + b, [F.regexp_count(c, F.lit(_escaped(w))) for w in words])
 
-    counts = F.array(*[F.struct(occurrences(words).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, words) in enumerate(markers)])
-    best = F.array_max(counts)
-    return F.coalesce(by_title, F.when(best["n"] > 0, best["name"]), F.lit(generic))
+    def occurrences(body, words):
+        # What removing a word takes away; unlike a pattern's matches this needs no pass over characters.
+        return reduce(lambda a, b: a + b, [((F.octet_length(body) - F.octet_length(F.replace(body, F.lit(w), F.lit("")))) / len(w.encode())).cast("int") for w in words])
 
+    def decided(x):
+        by_title = first_match([(name, contains_any(x["title"], words)) for name, words in markers])
+        counts = F.array(*[F.struct(occurrences(x["corpus"], words).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, words) in enumerate(markers)])
+        best = F.transform(F.array(F.array_max(counts)), lambda b: F.when(b["n"] > 0, b["name"]))[0]
+        return F.coalesce(by_title, best, F.lit(generic))
 
-def _escaped(word: str) -> str:
-    import re
-
-    return re.escape(word)
+    return F.transform(F.array(F.struct(normal(title).alias("title"), normal(corpus).alias("corpus"))), decided)[0]
 
 
 def document_type(name: Column, text: Column, by_name: list[tuple[str, str]], by_text: list[tuple[str, str]], otherwise: str = "other") -> Column:

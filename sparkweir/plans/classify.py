@@ -43,14 +43,14 @@ def k_lexical_gate(spark, sf_dir):
         concat_ws(',', {", ".join(f"CASE WHEN {k} THEN '{k}' END" for k in LEXICON)}) AS signals, CASE WHEN money AND NOT contact AND NOT english THEN 'noise' WHEN contact OR english THEN 'strong' WHEN german THEN 'weak' ELSE 'none' END AS strength FROM r""",
 )
 def k_assessment(spark, sf_dir):
-    f = rules.flags(F.col("text"), LEXICON)
+    f = {group: F.col("f")[group] for group in LEXICON}
     made = rules.assessment(
         [("offer", f["money"] & ~f["contact"], "none", "no_go"), ("lead", f["contact"] & f["english"], "good", "go"), ("mixed", f["german"] & f["english"], "poor", "maybe"), ("romance", f["romance"], "good", "maybe")],
         ("poor", "maybe", "plain"),
     )
     n = lambda *names: sum(f[x].cast("int") for x in names[1:]) + f[names[0]].cast("int")
     strength = rules.signal_strength(n("contact", "english"), n("german"), f["money"])
-    return table(spark, sf_dir, "documents").select("doc_id", made.alias("a"), F.array_join(rules.signals(F.col("text"), LEXICON), ",").alias("signals"), strength.alias("strength")).select("doc_id", "a.reason", "a.fit", "a.recommendation", "signals", "strength")
+    return table(spark, sf_dir, "documents").select("doc_id", rules.flagged(F.col("text"), LEXICON).alias("f")).select("doc_id", made.alias("a"), F.array_join(cascade.all_matches(list(f.items())), ",").alias("signals"), strength.alias("strength")).select("doc_id", "a.reason", "a.fit", "a.recommendation", "signals", "strength")
 
 
 @query("K15", "SELECT o_orderkey, CASE WHEN r = 'go' AND fit = 'poor' THEN 'maybe' WHEN r = 'maybe' AND fit = 'none' THEN 'no_go' ELSE r END AS effective FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'go' WHEN 'P' THEN 'maybe' ELSE 'no_go' END AS r, CASE WHEN o_totalprice > 300000 THEN 'good' WHEN o_totalprice > 100000 THEN 'poor' ELSE 'none' END AS fit FROM orders)")
@@ -120,23 +120,40 @@ def k_document_quality(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", q.alias("q"), status.alias("status"), rules.status_action(status).alias("action")).select("doc_id", "q.quality", "q.confidence", "status", "action")
 
 
+#: First bytes of pages dressed up as files, in hexadecimal, with the format that they name.
+SIGNATURES = [("255044462d", "pdf"), ("504b0304", "zip"), ("526172211a07", "rar"), ("377abcaf271c", "7z"), ("d0cf11e0a1b11ae1", "ole"), ("1f8b", "gzip"), ("89504e47", "png"), ("ffd8ff", "jpeg"), ("", "html")]
+SUFFIXES = ["html", "pdf", "bin", "docx", "xlsx", "rar", "7z", "doc", "gz", "png", "jpg"]
+_HEAD = "CASE page_id % 9 " + " ".join(f"WHEN {i} THEN '{h}'" for i, (h, _) in enumerate(SIGNATURES)) + " END"
+
+
 @query(
     "K41-K43 A27",
-    """SELECT page_id, 'html' AS format, CASE page_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'html_instead' WHEN 2 THEN 'unknown_suffix' ELSE 'html_instead' END AS problem FROM pages""",
+    f"""WITH b AS (SELECT page_id, {_HEAD} || lower(hex(encode(html))) AS x, [{", ".join(f"'{x}'" for x in SUFFIXES)}][CAST((page_id // 9) % 11 AS INTEGER) + 1] AS suffix FROM pages),
+        f AS (SELECT page_id, suffix, CASE WHEN starts_with(x, '255044462d') THEN 'pdf' WHEN starts_with(x, '504b0304') THEN 'zip' WHEN starts_with(x, '526172211a07') THEN 'rar' WHEN starts_with(x, '377abcaf271c') THEN '7z'
+        WHEN starts_with(x, 'd0cf11e0a1b11ae1') THEN 'ole' WHEN starts_with(x, '1f8b') THEN 'gzip' WHEN starts_with(x, '89504e47') THEN 'png' WHEN starts_with(x, 'ffd8ff') THEN 'jpeg' ELSE 'html' END AS format FROM b)
+        SELECT page_id, format, CASE WHEN suffix IN ('bin', 'gz', 'png', 'jpg') THEN 'unknown_suffix'
+        WHEN (suffix, format) IN (('html', 'html'), ('pdf', 'pdf'), ('docx', 'zip'), ('xlsx', 'zip'), ('rar', 'rar'), ('7z', '7z'), ('doc', 'ole')) THEN 'ok'
+        WHEN format = 'html' THEN 'html_instead' ELSE 'mismatch' END AS problem FROM f""",
 )
 def k_magic_bytes(spark, sf_dir):
-    name = F.concat(F.lit("file."), F.element_at(F.array(*map(F.lit, ("html", "pdf", "bin", "docx"))), (F.col("page_id") % 4 + 1).cast("int")))
-    found = rules.magic(F.col("html").cast("binary"))
-    return table(spark, sf_dir, "pages").select("page_id", found.alias("format"), rules.format_check(name, found).alias("problem"))
+    of = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    page = F.col("page_id")
+    name = F.concat(F.lit("file."), of(SUFFIXES, F.floor(page / 9) % len(SUFFIXES)))
+    content = F.concat(F.unhex(of([h for h, _ in SIGNATURES], page % len(SIGNATURES))), F.col("html").cast("binary"))
+    pages = table(spark, sf_dir, "pages").select("page_id", name.alias("name"), rules.magic(content).alias("format"))
+    return pages.select("page_id", "format", rules.format_check(F.col("name"), F.col("format")).alias("problem"))
 
 
 @query(
     "K44 K45",
-    """SELECT event_id, CASE CAST(event_id % 6 AS INTEGER) WHEN 0 THEN 'rate_limited' WHEN 1 THEN 'transient' WHEN 2 THEN 'not_found' WHEN 3 THEN 'denied' WHEN 4 THEN 'invalid' ELSE 'other' END AS class, event_id % 6 = 1 AS transient FROM events""",
+    r"""WITH s AS (SELECT doc_id, lower(text) AS t FROM documents)
+        SELECT doc_id, CASE WHEN regexp_matches(t, '\b429\b|too many requests|rate limit') THEN 'rate_limited' WHEN regexp_matches(t, 'timed? ?out|connection (reset|refused|aborted)|temporarily|\b50[234]\b|dns|ssl') THEN 'transient'
+        WHEN regexp_matches(t, '\b404\b|not found') THEN 'not_found' WHEN regexp_matches(t, '\b40[13]\b|forbidden|unauthorized') THEN 'denied' WHEN regexp_matches(t, 'invalid|malformed|cannot parse') THEN 'invalid' ELSE 'other' END AS class,
+        regexp_matches(t, 'timed? ?out|connection (reset|refused|aborted)|temporarily|\b50[234]\b|dns|ssl') AS transient FROM s""",
 )
 def k_failures(spark, sf_dir):
-    said = F.element_at(F.array(*map(F.lit, ("HTTP 429 Too Many Requests", "read timed out", "HTTP 404", "403 Forbidden", "malformed header", "boom"))), (F.col("event_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", rules.failure_class(said).alias("class"), rules.transient(said).alias("transient"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", rules.failure_class(F.col("text")).alias("class"), rules.transient(F.col("text")).alias("transient"))
 
 
 @query(

@@ -49,7 +49,7 @@ def c_filter_then_latest(spark, sf_dir):
 
 
 @query(
-    "C04 C31-C37 C39 C40",
+    "C04",
     """WITH l AS (SELECT user_id, arg_max(event_id, (ts, event_id)) FILTER (event_type = 'purchase') AS report, MAX(ts) FILTER (event_type = 'purchase') AS report_at, MAX(ts) FILTER (event_type = 'view') AS triage_at,
        arg_max(value, (ts, event_id)) FILTER (event_type = 'view') AS triage_value FROM events GROUP BY user_id) SELECT user_id, report, triage_value FROM l WHERE report IS NOT NULL AND (triage_at IS NULL OR report_at > triage_at) AND COALESCE(triage_value, 0) < 100""",
 )

@@ -13,10 +13,10 @@ from .selections import EVENTS_NOW, EVENTS_NOW_SQL, ntz
 
 @query(
     "L02 L03",
-    """WITH f AS (SELECT user_id, event_type AS fingerprint, MIN(event_id) AS event_id FROM events WHERE event_id % 11 = 0 GROUP BY 1, 2) SELECT user_id, fingerprint, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1 AS is_update FROM f""",
+    """WITH f AS (SELECT user_id, event_type AS fingerprint, MIN(event_id) AS event_id FROM events GROUP BY 1, 2) SELECT user_id, fingerprint, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1 AS is_update FROM f""",
 )
 def l_versions(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 11 = 0").select("user_id", F.col("event_type").alias("fingerprint"), "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("fingerprint"), "event_id")
     return ledger.versions(e, ["user_id"], "fingerprint", ["event_id"])
 
 
