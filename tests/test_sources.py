@@ -92,3 +92,51 @@ def test_packages(spark):
     assert found["x.html"] == ("extracted", "one | two", None) and found["e.txt"][0] == "empty" and found["bad.zip"][0] == "invalid"
     status = {r.name: r.package for r in documents.package_status(documents.texts(df)).collect()}
     assert status == {"p.zip": "partial", "x.html": "complete", "e.txt": "none", "bad.zip": "none"}
+
+
+def zipped(members):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in members.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+
+def letter(*lines):
+    return f"<w:document {W}>" + "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in lines) + "</w:document>"
+
+
+def test_html_text():
+    page = """<html><head><title>no</title></head><body><header>Top</header><p>a &amp; b<br>c</p><script>if (a < b) x()</script><svg><text>no</text></svg>
+    <!-- <p>no</p> --><table><tr><td>1</td><td title="x > y">2</td></tr></table><a href="/p?a=1&amp;b=2">one</a> <a class='k' href=two>two</a>
+    <a href="#top">t</a><a href='mailto:x@y'>m</a><a href="JavaScript:go()">j</a><a href="tel:1">p</a><style>no"""
+    text, links = documents.html_text(page)
+    assert text == "Top\na & b\nc\n| 1 | 2\none two\ntmjp" and links == ["/p?a=1&b=2", "two"]
+    assert documents.html_text(None) == ("", []) and documents.html_text("a < b and 3 > 2") == ("a < b and 3 > 2", [])
+
+
+def test_texts_are_whole_or_refused(monkeypatch):
+    one = lambda data, name: [(r["status"], r["text"], r["gap"]) for r in documents.extract(data, name)]
+    parts = {"word/document.xml": letter("body", "more"), "word/header1.xml": letter("head"), "word/footnotes.xml": letter("note")}
+    assert one(zipped(parts), "a.docx") == [("extracted", "body\nmore\nnote\nhead", None)]
+    assert one(zipped({"word/document.xml": letter("x" * 300_000)}), "a.docx") == [("invalid", None, "ratio")]
+    rnd = "".join(chr(0x4E00 + (i * 7919) % 20000) for i in range(210_000))
+    assert one(zipped({"word/document.xml": letter(rnd)}), "a.docx") == [("too_large", None, "characters")] == one(rnd.encode(), "a.txt")
+    rows = lambda n: f"<worksheet {S}>" + "".join(f"<row><c><v>{i * 7919}</v></c></row>" for i in range(n)) + "</worksheet>"
+    assert one(zipped({"xl/worksheets/sheet1.xml": rows(3)}), "a.xlsx") == [("extracted", "0\n7919\n15838", None)]
+    assert one(zipped({"xl/worksheets/sheet1.xml": rows(2001)}), "a.xlsx") == [("too_large", None, "rows")]
+    assert one(zipped({f"xl/worksheets/sheet{i}.xml": rows(1) for i in range(11)}), "a.xlsx") == [("too_large", None, "sheets")]
+    assert one(b'<!DOCTYPE x [<!ENTITY a "b">]><x>&a;</x>', "a.xml") == [("invalid", None, "document_type")]
+    good = bytearray(zipped({"a.txt": "some words that are long enough to be deflated, again and again and again"}))
+    good[40:60] = b"\xff" * 20
+    assert one(bytes(good), "a.zip")[0][0] == "invalid"
+    monkeypatch.setattr(documents, "UNPACKED", 1000)
+    found = one(zipped({"a.txt": "a" * 10, "b.txt": "".join(chr(33 + i * 7 % 90) for i in range(995)), "c.txt": "c"}), "a.zip")
+    assert [x[0] for x in found] == ["extracted", "too_large", "extracted"]
