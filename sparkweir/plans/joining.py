@@ -179,7 +179,13 @@ def c_rows_to_rules(spark, sf_dir):
     return joins.match_rules(table(spark, sf_dir, "documents"), "text", RULES).select("doc_id", "rule")
 
 
-@query("C27")
+@query(
+    "C27",
+    """WITH RECURSIVE s AS (SELECT l_orderkey, l_linenumber, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS a FROM lineitem), r AS (SELECT *, a + 5 + l_linenumber * 7 AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY a, a + l_linenumber * 7, l_linenumber) AS i FROM s),
+       p AS (SELECT *, a AS la, b AS lb, TRUE AS kept FROM r WHERE i = 1
+             UNION ALL SELECT x.*, CASE WHEN apart THEN x.a ELSE la END, CASE WHEN apart THEN x.b ELSE lb END, apart FROM (SELECT r, la, lb, least(r.b, lb) - greatest(r.a, la) < CAST(0.55 AS DOUBLE) * least(r.b - r.a, lb - la) AS apart FROM p JOIN r ON r.l_orderkey = p.l_orderkey AND r.i = p.i + 1) q, (SELECT unnest(q.r)) x)
+       SELECT l_orderkey, l_linenumber, CAST(a AS INTEGER) AS start, b AS "end" FROM p WHERE kept""",
+)
 def c_span_suppression(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.unix_date(F.to_date("l_shipdate")).alias("start"))
     spans = l.withColumn("end", F.col("start") + 5 + F.col("l_linenumber") * 7)

@@ -249,7 +249,13 @@ def f_text_pages(spark, sf_dir):
     return pages.select("doc_id", F.col("offset").cast("long").alias("page_offset"), "page")
 
 
-@query("F18")
+@query(
+    "F18",
+    """WITH RECURSIVE r AS (SELECT conv_id, turn, role, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text)) AS i FROM conversations),
+       p AS (SELECT *, 0 AS bin, chars AS used FROM r WHERE i = 1
+             UNION ALL SELECT r.*, CASE WHEN used > 0 AND used + r.chars > 1500 THEN bin + 1 ELSE bin END, CASE WHEN used > 0 AND used + r.chars > 1500 THEN r.chars ELSE used + r.chars END FROM p JOIN r ON r.conv_id = p.conv_id AND r.i = p.i + 1)
+       SELECT conv_id, turn, role, CAST(chars AS INTEGER) AS chars, bin FROM p""",
+)
 def f_packed_messages(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return ranking.packed(c.select("conv_id", "turn", "role", F.length("text").alias("chars")), ["conv_id"], ["turn"], F.col("chars"), 1500)

@@ -57,7 +57,14 @@ def h_phone_core(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.digits(p).alias("digits"), text.phone_core(p).alias("core"))
 
 
-@query("H11 H12 K51 K52 D34")
+@query(
+    "H11 H12 K51 K52 D34",
+    r"""WITH f AS (SELECT doc_id, lower(text) AS body, regexp_replace(text, '[^0-9]', '', 'g') AS held, regexp_extract(text, '(\+?\d[\d \-()]{8,16}\d)', 1) AS phone, lower(regexp_extract(text, '([\w.+\-]+@[\w\-]+\.[\w.]+)', 1)) AS mail, lower(regexp_extract(text, '^(\p{L}+)', 1)) AS name FROM documents),
+        d AS (SELECT *, regexp_replace(phone, '[^0-9]', '', 'g') AS digits FROM f), c AS (SELECT *, CASE WHEN length(digits) = 11 AND regexp_matches(digits, '^[78]') THEN substr(digits, 2, 10) ELSE substr(digits, 1, 10) END AS core FROM d),
+        k AS (SELECT *, length(core) = 10 AND contains(held, core) AS p, name <> '' AND contains(body, name) AS n, mail <> '' AND contains(body, mail) AS m FROM c)
+        SELECT doc_id, CAST(p AS INTEGER) + CAST(contains(held, '9990000000') AS INTEGER) AS phones, name <> '' AND contains(body, substr(name, 1, greatest(4, length(name) - 2))) AS name_found,
+        CASE WHEN n AND p THEN 'A' WHEN p THEN 'B' WHEN n AND m THEN 'C' ELSE 'none' END AS grade FROM k""",
+)
 def h_contact_grounding(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     phone = F.regexp_extract("text", r"(\+?\d[\d \-()]{8,16}\d)", 1)
@@ -228,11 +235,16 @@ def j_paths_and_objects(spark, sf_dir):
     )
 
 
-@query("J04-J08 J19 J28 J29 M01")
+@query(
+    "J04-J08 J19 J28 J29 M01",
+    r"""WITH d AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'api_key' ELSE 'name' END AS name, props FROM events), j AS (SELECT event_id, name, '{"b": [1, {"' || name || '": ' || props || '}], "a": 1.50}' AS deep, '{"a":1.5,"b":[1,{"' || name || '":' || replace(props, ' ', '') || '}]}' AS canonical FROM d)
+        SELECT event_id, ANY_VALUE(regexp_matches(deep, '(?i)"[^"]*(password|passwd|secret|token|api_?key|authorization|credential)[^"]*"\s*:')) AS likely, bool_or(COALESCE(regexp_matches(key, '(^|_)(password|passwd|secret|token|api_?key|authorization|credential)(_|$)'), FALSE)) AS secret,
+        string_agg(CAST(atom AS VARCHAR), ' ' ORDER BY id) FILTER (atom IS NOT NULL) AS corpus, ANY_VALUE(canonical) AS canonical, CAST(MAX(length(regexp_replace(fullkey, '[^.\[]', '', 'g'))) + 1 AS INTEGER) AS depth, CAST(COUNT(*) AS INTEGER) AS nodes FROM j, json_tree(deep) GROUP BY event_id""",
+)
 def j_recursive_search(spark, sf_dir):
     deep = F.concat(F.lit('{"b": [1, {"'), F.when(F.col("event_id") % 2 == 0, F.lit("api_key")).otherwise(F.lit("name")), F.lit('": '), "props", F.lit('}], "a": 1.50}'))
     e = table(spark, sf_dir, "events").select("event_id", deep.alias("deep"))
-    return e.select("event_id", jsonx.secret_key_likely(F.col("deep")).alias("likely"), jsonx.has_secret_key("deep").alias("secret"), jsonx.corpus(200)("deep").alias("corpus"), jsonx.canonical_json("deep").alias("canonical"), jsonx.structure("deep").alias("structure"))
+    return e.select("event_id", jsonx.secret_key_likely(F.col("deep")).alias("likely"), jsonx.has_secret_key("deep").alias("secret"), jsonx.corpus(30000)("deep").alias("corpus"), jsonx.canonical_json("deep").alias("canonical"), jsonx.structure("deep").alias("structure")).select("*", "structure.depth", "structure.nodes").drop("structure")
 
 
 @query(

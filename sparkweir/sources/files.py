@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import posixpath
 import re
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,9 +60,27 @@ def guarded(spark: SparkSession, path: str, root: str, suffixes: tuple[str, ...]
     return df
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name where driver and executors share files: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/landed-{uuid.uuid4().hex}"
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file, in any file system that Spark reaches."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def file_digest(files: DataFrame) -> str:
-    """SHA-256 of one file's bytes."""
-    return files.select(F.sha2("content", 256)).first()[0]
+    """SHA-256 of one file's bytes, or of several files' digests in order of their paths."""
+    parts = files.select(F.sha2("content", 256).alias("sha"), "path").orderBy("path").collect()
+    return parts[0]["sha"] if len(parts) == 1 else hashlib.sha256("".join(r["sha"] for r in parts).encode()).hexdigest()
 
 
 def rows(spark: SparkSession, path: str, kind: str, columns: list[str]) -> DataFrame:
@@ -105,7 +123,10 @@ def refused(df: DataFrame) -> Column:
 def page(spark: SparkSession, path: str, kind: str, columns: list[str], order: str, cursor: tuple[str, int] | None = None, limit: int = 500, limits: Limits = Limits()) -> tuple[DataFrame, tuple[str, int] | None]:
     """A page of a bounded file's rows and the cursor of the next, (the file's digest, offset), None after the last. A file that has changed since the cursor is refused."""
     files = spark.read.format("binaryFile").load(path)
-    sha = file_digest(files.select("content"))
+    size = files.agg(F.sum("length")).first()[0] or 0
+    if size > limits.bytes:
+        raise Refused(f"{size} bytes; {limits.bytes} are allowed")
+    sha = file_digest(files.select("path", "content"))
     offset = 0
     if cursor:
         if cursor[0] != sha:
@@ -184,9 +205,7 @@ def write_report(sections: list[tuple[str, DataFrame]], path: str, most: int = 1
         out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
         out += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in cut] + [""]
     text = "\n".join(out)
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as file:
-        file.write(text)
+    put(sections[0][1].sparkSession, path, text)
     return text
 
 
@@ -202,6 +221,14 @@ def migration_plan(declared: list[tuple[str, str]], applied: dict[str, str]) ->
     return todo
 
 
+def migration_states(declared: DataFrame, applied: DataFrame) -> DataFrame:
+    """(version, state) of declared(version, text) against a ledger applied(version, sha256): pending, applied, changed, or undeclared where only the ledger has it."""
+    stated = declared.select("version", F.sha2(F.col("text").cast("binary"), 256).alias("_stated"))
+    held = applied.select("version", F.col("sha256").alias("_held"))
+    state = F.when(F.col("_held").isNull(), F.lit("pending")).when(F.col("_stated").isNull(), F.lit("undeclared")).when(F.col("_stated") == F.col("_held"), F.lit("applied")).otherwise(F.lit("changed"))
+    return stated.join(held, "version", "full").select("version", state.alias("state"))
+
+
 def profile(text: str, depth: int = 12, most: int = 1 << 20) -> dict:
     """A rule profile in YAML: no duplicate keys, no secret keys, a bounded size and depth. With its SHA-256 under `sha256`."""
     import yaml
