@@ -226,9 +226,12 @@ def k_backfill_outcome(spark, sf_dir):
     return c.select("user_id", rules.backfill_outcome(row).alias("outcome"))
 
 
-@query("K74 K75")
+@query(
+    "K74 K75",
+    """SELECT p_partkey, printf('26.%02d.11.110-%08d', CAST(p_size % 90 AS INTEGER), CAST(p_partkey AS BIGINT)) AS code, p_name AS name, 'pcs' AS unit, floor(p_retailprice) AS quantity, CAST(1 AS INTEGER) AS header_at FROM part""",
+)
 def k_coded_rows(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    line = F.concat_ws(" | ", F.format_string("26.%02d.11.110-%08d", (F.col("p_size") % 90), F.col("p_partkey")), "p_name", F.lit("pcs"), (F.col("p_retailprice") / 10).cast("decimal(10,1)").cast("string"))
+    line = F.concat_ws(" | ", F.format_string("26.%02d.11.110-%08d", (F.col("p_size") % 90), F.col("p_partkey")), "p_name", F.lit("pcs"), F.concat(F.floor("p_retailprice").cast("string"), F.lit(",0")))
     at = rules.header_position(F.split(F.concat(F.lit("intro\n"), F.lit("name | unit | quantity\n"), line), "\n"), ["name", "unit", "quantity"])
     return p.select("p_partkey", rules.coded_row(line).alias("r"), at.alias("header_at")).select("p_partkey", "r.*", "header_at")
