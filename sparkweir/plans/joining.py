@@ -198,9 +198,7 @@ def c_span_suppression(spark, sf_dir):
 )
 def c_document_matches(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "://([^/?#:]+)", 1).alias("host"))
-    o = p.select(F.col("page_id").alias("other"), F.col("url").alias("other_url"), "host")
-    near = (F.col("page_id") < F.col("other")) & (F.contains("url", F.col("other_url")) | F.contains("other_url", F.col("url")))
-    return p.join(o, "host").where(near).select("page_id", "other").distinct()
+    return joins.contained(p, "page_id", "url", "host").select(F.least("outer", "inner").alias("page_id"), F.greatest("outer", "inner").alias("other")).distinct()
 
 
 @query("C29 G03 G04", "SELECT user_id FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-03' INTERSECT SELECT DISTINCT o_custkey FROM orders) EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-02'")

@@ -192,3 +192,13 @@ def test_near_texts_compare_whole_texts(spark, tmp_path):
         expected[c] = (alike(*texts[:2]), len(kept))
     assert expected[1] == (False, 2) and expected[2] == (True, 1)
     assert {r.conv_id: (r.alike, r.kept) for r in REGISTRY["k_near_texts"].run(spark, str(tmp_path)).collect()} == expected
+
+
+def test_contained_texts(spark):
+    from sparkweir.operators.joins import contained
+
+    texts = ["", "a", "ab", "://h/ab", "http://h/ab", "http://h/abc", "x://h/?u=http://h/ab", "http://h/ab", "abc", "bcabc", None, "é://h/" + "z" * 70, "z" * 70, "z" * 33]
+    rows = [(i, g, t) for i, t in enumerate(texts) for g in ["g"]] + [(100, "other", "ab"), (101, None, "ab")]
+    got = {tuple(r) for r in contained(spark.createDataFrame(rows, "id int, g string, t string"), "id", "t", "g").collect()}
+    expected = {(i, j) for i, g, t in rows for j, h, u in rows if i != j and g is not None and g == h and t is not None and u is not None and u in t}
+    assert got == expected
