@@ -41,4 +41,27 @@ named AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(id, ',' ORDER BY id) AS
 SELECT doc_id, len(w) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
-ORACLE_SQL = {"op1_substring_dedup": OP1, "op3_suffix_dedup": OP3, "op7_decontamination": OP7}
+OP11 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+#: The smallest id of each text, masks of failures, histograms; then every order of the five filters, step by step.
+OP13 = r"""WITH docs AS (SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS t, list_filter(regexp_split_to_array(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+firsts AS (SELECT t, MIN(doc_id) AS least FROM docs GROUP BY t),
+marks AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask FROM docs JOIN firsts USING (t)),
+known AS (SELECT doc_id, MAX(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, MAX(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+hist AS (SELECT part, mask, COUNT(*) AS n, SUM(COALESCE(good, 0)) AS n_good, SUM(COALESCE(toxic, 0)) AS n_toxic FROM marks LEFT JOIN known USING (doc_id) GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (SELECT filter_order, step, bits[step] AS own, list_sum(bits[1:step]) - bits[step] AS earlier FROM orders, range(1, 6) r(step)),
+rows_of AS (SELECT part, filter_order, step, own,
+  SUM(CASE WHEN mask & CAST(own + earlier AS INTEGER) = 0 THEN n ELSE 0 END) AS kept, SUM(CASE WHEN mask & own > 0 AND mask & CAST(earlier AS INTEGER) = 0 THEN n ELSE 0 END) AS removed,
+  SUM(CASE WHEN mask & own > 0 AND mask & CAST(earlier AS INTEGER) > 0 THEN n ELSE 0 END) AS redundant, SUM(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+  SUM(CASE WHEN mask & own > 0 AND mask & CAST(earlier AS INTEGER) = 0 THEN n_good ELSE 0 END) AS good_lost, SUM(CASE WHEN mask & own > 0 AND mask & CAST(earlier AS INTEGER) = 0 THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM hist, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(SUM(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM rows_of"""
+
+ORACLE_SQL = {"op1_substring_dedup": OP1, "op3_suffix_dedup": OP3, "op7_decontamination": OP7, "op11_exact_topk": OP11, "op13_filter_audit": OP13}

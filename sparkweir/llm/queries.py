@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
+from . import bpe, decontamination, exact_topk, filter_audit, importance_resampling, language_id, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
 from .common import held_out, table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -86,4 +86,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_suffix_dedup, op4_quality_classifier, op5_language_id, op6_simhash, op7_decontamination, op8_quality_rules, op9_byte_bpe, op10_toxicity)}
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_secret_scan, op3_suffix_dedup, op4_quality_classifier, op5_language_id, op6_simhash, op7_decontamination,
+        op8_quality_rules, op9_byte_bpe, op10_toxicity, op11_exact_topk, op12_importance_resampling, op13_filter_audit,
+    )
+}
