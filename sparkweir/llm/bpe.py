@@ -24,6 +24,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,11 +90,14 @@ class Splitter:
     ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
     def __init__(self):
+        # Unicode's versions differ in what is a letter, so that the classes are asked of the library whose ids are wanted:
+        # with the bytes as its only tokens it gives back the characters that match.
         self.kind = np.zeros(0x110000, np.uint8)
-        every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "!" for c in range(0x110000))
-        for kind, runs in ((self.LETTER, r"\p{L}+"), (self.DIGIT, r"\p{N}+"), (self.SPACE, r"\s+")):
-            for m in regex.finditer(runs, every):
-                self.kind[m.start() : m.end()] = kind
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        for kind, one in ((self.LETTER, r"\p{L}"), (self.DIGIT, r"\p{N}"), (self.SPACE, r"\s")):
+            matching = tiktoken.Encoding("characters", pat_str=one, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+            found = bytes(matching.encode_ordinary(every)).decode()
+            self.kind[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
 
     def __call__(self, text: str) -> list[str]:
         n = len(text)

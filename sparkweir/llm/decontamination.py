@@ -10,13 +10,16 @@ its own, found through the chain of suffix links.
 A word is a run of letters, digits and characters beyond ASCII, with A-Z
 lower-cased. Texts: null and empty ones have no words and are clean; long
 ones are streamed whole. Items: null ones and those without words are
-skipped; repeated items share their windows and each counts. Rows come one to
+skipped; repeated items share their windows and each counts; one without an id
+has windows like others, whose words are hit, but no name to be listed by. Rows come one to
 one, repeated ids included; empty tables give an empty result, or clean rows.
 Only the named columns are read, so that other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sent, give_back, received, send, slices, small_batches
+from .common import Sent, give_back, once_per_process, slices, small_batches, stored, unused
 
 #: Fixed by the contract: what may stand between words.
 BETWEEN = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -80,6 +83,15 @@ class Automaton:
         for state in sorted(range(1, len(self.steps)), key=self.length.__getitem__):
             self.whole[state] = state if state in self.shorts else self.whole[self.link[state]] if self.link[state] > 0 else -1
 
+    def packed(self) -> bytes:
+        return pickle.dumps(vars(self))
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Automaton:
+        self = cls.__new__(cls)
+        vars(self).update(pickle.loads(raw))
+        return self
+
     def _extend(self, last: int, word: bytes) -> int:
         steps, length, link = self.steps, self.length, self.link
         if word in steps[last]:
@@ -172,7 +184,7 @@ def joined(spans: list) -> list[list[int]]:
 
 def _scanner(group: list[Sent]):
     def run(batches):
-        automata = [received(sent) for sent in group]
+        automata = [_received(sent) for sent in group]
         for batch in slices(batches, 1):
             counts, spans, items = [], [], []
             for text in batch.column(1):
@@ -183,7 +195,7 @@ def _scanner(group: list[Sent]):
                     runs, found = joined(runs + more) if more else runs, found | others
                 counts.append(len(words))
                 spans.append([{"first": a, "end": b} for a, b in runs])
-                items.append(sorted(found))
+                items.append(sorted(found - {None}))
             kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))],
@@ -193,25 +205,42 @@ def _scanner(group: list[Sent]):
     return run
 
 
-def _blocks(items):
-    """Blocks of (item, words); an item longer than a block has one of its own."""
-    block, size = [], 0
-    for row in items:
-        words = words_of(bytes(row["text"]))
-        if block and size + len(words) > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        if words:
-            block.append((row["item"], words))
-            size += len(words)
-    if block:
-        yield block
+def _builder(window: int):
+    """Automata of blocks of items; an item longer than a block has one of its own."""
+
+    def run(batches):
+        block, size = [], 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words_of(text.as_py())
+                if block and size + len(words) > BLOCK_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array([Automaton(block, window).packed()], pa.binary())], ["automaton"])
+                    block, size = [], 0
+                if words:
+                    block.append((name, words))
+                    size += len(words)
+        if block:
+            yield pa.RecordBatch.from_arrays([pa.array([Automaton(block, window).packed()], pa.binary())], ["automaton"])
+
+    return run
+
+
+def _received(sent: Sent) -> Automaton:
+    return once_per_process(sent.kind, sent.key, lambda: Automaton.unpacked(sent.content.value))
 
 
 def _automata(spark: SparkSession, benchmark: DataFrame, window: int, item_col: str, item_text_col: str) -> list[list[Sent]]:
-    """Automata in groups of AT_ONCE."""
+    """Automata in groups of AT_ONCE, each built in a task from items of BLOCK_WORDS or so; the driver only passes them on, one at a time."""
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("text"))
-    sent = [send(spark, Automaton(block, window)) for block in _blocks(items.toLocalIterator())] or [send(spark, Automaton([], window))]
+    total = items.agg(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))).alias("n")).first().n or 0
+    dealt = items.repartition(max(1, -(-total // BLOCK_WORDS)), F.xxhash64("text", "item"))
+    sent = []
+    for row in stored(dealt.mapInArrow(_builder(window), "automaton binary")).toLocalIterator():
+        raw = bytes(row.automaton)
+        sent.append(Sent("automaton", hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw)))
+    if not sent:
+        raw = Automaton([], window).packed()
+        sent = [Sent("automaton", hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw))]
     return [sent[i : i + AT_ONCE] for i in range(0, len(sent), AT_ONCE)]
 
 
@@ -227,17 +256,17 @@ def _merger(batches):
 def scan(df: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, n_words, spans, items): the runs of hit words, and the items, as sorted strings, whose windows occur.
 
-    The items come to the driver partition by partition and are cut into
-    automata of a bounded size, each of which is sent to the executors. The
-    documents are scanned once for each AT_ONCE of them, which bounds what a
-    worker holds, and the findings are merged.
+    The items are cut into automata of a bounded size, built by tasks, each of
+    which is sent to the executors. The documents are scanned once for each
+    AT_ONCE of them, which bounds what a worker holds, and the findings are
+    merged. stored() tables stay in the shared folder while the result is read.
     """
     groups = _automata(df.sparkSession, benchmark, window, item_col, item_text_col)
     if len(groups) == 1:
         read = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
         return read.mapInArrow(_scanner(groups[0]), f"id {dict(read.dtypes)['id']}, {SCANNED}").withColumnRenamed("id", id_col)
-    # Rows may repeat, so that each is known by its place, too, and not by its id alone.
-    read = df.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    # Rows may repeat, so that each is known by its place, too, and not by its id alone; places are written once, as another run may give others.
+    read = stored(df.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")).alias("id"), F.col(text_col).cast("binary").alias("text")))
     kind = f"id {read.select('id').schema[0].dataType.simpleString()}"
     every = reduce(DataFrame.unionByName, [read.mapInArrow(_scanner(group), f"{kind}, {SCANNED}") for group in groups])
     gathered = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
@@ -250,7 +279,7 @@ def marks(df: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str =
     def runs_of(group: list[Sent]) -> Column:
         @F.arrow_udf("struct<n_words:long,spans:array<struct<first:int,end:int>>>")
         def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            automata = [received(sent) for sent in group]
+            automata = [_received(sent) for sent in group]
             kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
             for part in texts:
                 counts, spans = [], []
@@ -284,6 +313,9 @@ def _cutter(batches):
     for batch in slices(batches, 1):
         texts = []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if not spans:
+                texts.append(text)
+                continue
             places = [m.span() for m in find.finditer(text.translate(LOWER))]
             kept, at = [], 0
             for s in spans:
@@ -293,14 +325,12 @@ def _cutter(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["id", "text"])
 
 
-def remove(df: DataFrame, benchmark: DataFrame, one_in: int = 20, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with the hit spans of contaminated texts cut out; all columns, all rows, other texts unchanged.
-
-    The rows of df are matched to the findings by id, which must be unique.
-    """
-    found = scan(df, benchmark, window, id_col, text_col)
-    found = found.where(contaminated(n_hit(), F.col("n_words"), one_in)).select(F.col(id_col).alias("_id"), "spans")
-    hit = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text")).join(found, "_id").select("_id", "text", "spans")
-    cut = hit.mapInArrow(_cutter, f"id {dict(df.dtypes)[id_col]}, text binary").select(F.col("id").alias("_cut_id"), F.col("text").cast("string").alias("_cut"))
-    joined = df.join(cut, df[id_col] == cut["_cut_id"], "left")
-    return joined.withColumn(text_col, F.when(F.col("_cut_id").isNotNull(), F.col("_cut")).otherwise(F.col(text_col))).select(*df.columns)
+def remove(df: DataFrame, benchmark: DataFrame, one_in: int = 20, window: int = 13, text_col: str = "text") -> DataFrame:
+    """df with the hit spans of contaminated texts cut out; all columns, all rows, other texts unchanged. Null and repeated ids are as good as others: rows are not told apart by ids."""
+    columns = df.columns
+    row, whole = unused(df, "_row", "_whole")
+    found = scan(df.select(F.struct(*columns).alias(row), F.col(text_col).alias(whole)), benchmark, window, row, whole)
+    hit = contaminated(n_hit(), F.col("n_words"), one_in)
+    cut = found.select(F.struct(row, hit.alias("hit")).alias("id"), F.col(f"{row}.{text_col}").cast("binary").alias("text"), F.when(hit, F.col("spans")).otherwise(F.expr("array()").cast("array<struct<first:int,end:int>>")).alias("spans"))
+    done = cut.mapInArrow(_cutter, f"id {cut.schema['id'].dataType.simpleString()}, text binary")
+    return done.select(*[F.when(F.col("id.hit"), F.col("text").cast("string")).otherwise(F.col(f"id.{row}.{c}")).alias(c) if c == text_col else F.col(f"id.{row}.{c}").alias(c) for c in columns])

@@ -15,10 +15,11 @@ ones of their own sort more often; only digests always have words for digests
 near them, as nothing else tells them from hexadecimal secrets.
 
 Texts: null ones stay null and have no findings, as have empty ones; long ones
-are scanned whole. Where candidates overlap, the first is taken. Rows come one
+are scanned whole, in time in proportion to their length. Where candidates overlap, the first is taken. Rows come one
 to one, repeated rows and null ids included; an empty table gives an empty
 result. All columns pass by untouched; a result that would take the name of
-one of them is refused.
+one of them is refused. The results are long expressions: write or store them
+before a filter on them, which the optimizer would else repeat them for.
 """
 
 from __future__ import annotations
@@ -32,16 +33,24 @@ from pyspark.sql import functions as F
 
 from .common import unused
 
+#: Characters of names, and what stands in the name of a secret, whatever is around it, as in DB_PASSWORD_OLD.
+NAME, KEYWORD = r"A-Za-z0-9_.\-", r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)"
 #: Where a value without quotes ends before a blank: at a separator with another name or secret after it.
-NEXT = r"""[,;&](?:["']?[A-Za-z_][A-Za-z0-9_.\-]*+["']?[=:]|AKIA|gh[pousr]_|xox[abprs]-|AIza|sk_live_|eyJ|-----BEGIN)"""
-#: What candidates look like, by kind. A name may go on after the keyword; what stands before it, as in DB_PASSWORD, stays as text.
+NEXT = rf"""[,;&](?:["']?[A-Za-z_][{NAME}]*+["']?[=:]|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|sk_live_|sk-|eyJ|-----BEGIN)"""
+PEM = "(?:[A-Z]{2,10} )?PRIVATE KEY(?: BLOCK)?-----"
+#: What candidates look like, by kind. Each begins where a token begins, gives nothing back once it has run on,
+#: and runs on over characters that no other of its beginnings stands in, so that a text takes time in proportion to its length.
 KINDS = {
-    "assignment": rf"""(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[A-Za-z0-9_.\-]*+["']?\s{{0,3}}[=:]\s{{0,3}}(?:"[^"\r\n]{{8,}}+(?<!\\)"|'[^'\r\n]{{8,}}+(?<!\\)'|["']?(?:(?!{NEXT})\S){{8,}}+)""",
-    "access_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "vendor_token": r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_\-]{35,}+|sk_live_[A-Za-z0-9]{24,}+)",
-    "web_token": r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
-    "private_key": r"-----BEGIN (?:[A-Z]{2,10} )?PRIVATE KEY-----(?:\s*+[A-Za-z][A-Za-z0-9\-]*+:[^\r\n]*+)*+[A-Za-z0-9+/=\s]{16,}(?:-----END (?:[A-Z]{2,10} )?PRIVATE KEY-----)?",
+    "assignment": rf"""(?<![{NAME}])(?=[{NAME}]*?{KEYWORD})[{NAME}]++["']?\s{{0,3}}[=:]\s{{0,3}}(?:"[^"\r\n]{{8,}}+(?<!\\)"|'[^'\r\n]{{8,}}+(?<!\\)'|["']?(?:(?!{NEXT})\S){{8,}}+)""",
+    "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
+    "vendor_token": r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|glpat-[A-Za-z0-9_\-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_\-]{35,}+|sk_live_[A-Za-z0-9]{24,}+|sk-[A-Za-z0-9_\-]{20,}+)",
+    "web_token": r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+",
+    "bearer": r"\b(?i:bearer)\s{1,3}[A-Za-z0-9._~+/\-]{16,}+=*+",
+    "url_password": r"""://[^\s:/@"'<>]*+:[^\s/@"'<>]{3,}+@""",
+    "private_key": rf"-----BEGIN {PEM}(?:\s{{0,8}}+[A-Za-z][A-Za-z0-9\-]{{0,64}}+:[^\r\n]{{0,200}}+(?=[\r\n]|\z)){{0,16}}+[A-Za-z0-9+/=\s]{{16,}}+(?:-----END {PEM})?",
 }
+#: Kinds whose value is named or addressed by what stands before it.
+NAMED = ("assignment", "bearer", "url_password")
 PATTERN = "|".join(KINDS.values())
 #: Words that placeholders are made of, and words near secrets and near other things.
 DICTIONARY = ("example", "sample", "dummy", "test", "fake", "placeholder", "changeme", "change", "your", "here", "password", "passwd", "secret", "token", "value", "key", "admin", "user", "none", "null", "true", "false", "xxxx", "redacted", "insert", "default", "string", "foo", "bar", "abcd", "1234", "qwerty", "access", "api", "name", "my", "the")
@@ -71,24 +80,30 @@ def _features(value: Column, before: Column, after: Column, kind: Column) -> dic
         "near_secrets": before.rlike(NEAR_SECRETS).cast("double"),
         "near_others": (before.rlike(NEAR_OTHERS) | F.left(after, F.lit(16)).rlike(NEAR_OTHERS)).cast("double"),
         "hexadecimal": value.rlike("^[0-9a-f]+$").cast("double"),
-        "assignment": (kind == "assignment").cast("double"),
+        "assignment": kind.isin(*NAMED).cast("double"),
         "run": value.rlike(r"(.)\1{4}|(?i)abcdef|123456|987654").cast("double"),
         "wordlike": (F.length(value) - without("[A-Za-z][a-z]{3,}")) / length,
         "code": (value.rlike(r"[(){}<>\[\]]|^[$%&]|\s") & ~kind.isin("private_key")).cast("double"),
     }
 
 
-def _value(candidate: Column) -> Column:
-    """What an assignment assigns; of other kinds the whole."""
-    assigned = F.regexp_extract(candidate, r"""(?s)^[A-Za-z0-9_.\-]+["']?\s{0,3}[=:]\s{0,3}["']?(.*?)["']?$""", 1)
-    return F.when(_kind(candidate) == "assignment", assigned).otherwise(candidate)
+def _value(candidate: Column, kind: Column) -> Column:
+    """What is secret in a candidate of a kind that names it; of other kinds the whole."""
+    assigned = F.regexp_extract(candidate, rf"""(?s)^[{NAME}]++["']?\s{{0,3}}[=:]\s{{0,3}}["']?(.*?)["']?$""", 1)
+    return (
+        F.when(kind == "assignment", assigned)
+        .when(kind == "bearer", F.regexp_extract(candidate, r"^\S+\s+(.*)$", 1))
+        .when(kind == "url_password", F.regexp_extract(candidate, r"^://[^:]*+:(.*)@$", 1))
+        .otherwise(candidate)
+    )
 
 
 def _kind(candidate: Column) -> Column:
-    out = F.lit("assignment")
-    for kind, start in (("access_key", "^AKIA"), ("vendor_token", "^(gh[pousr]_|xox|AIza|sk_live_)"), ("web_token", "^eyJ"), ("private_key", "^-----")):
-        out = F.when(candidate.rlike(start), kind).otherwise(out)
-    return out
+    """Names come first: what follows may begin like any other kind."""
+    out = F.when(candidate.rlike(rf"""^(?=[{NAME}]*?{KEYWORD})[{NAME}]++["']?\s{{0,3}}[=:]"""), "assignment")
+    for kind, start in (("access_key", "^A[KS]IA"), ("web_token", "^eyJ"), ("bearer", r"^(?i:bearer)\s"), ("url_password", "^://"), ("private_key", "^-----")):
+        out = out.when(candidate.rlike(start), kind)
+    return out.otherwise("vendor_token")
 
 
 def training_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
@@ -112,7 +127,7 @@ def training_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         F.when(sort == 0, made(cut(noise("h"), "hl", 12, 64)))
         .when(sort == 1, made(cut(base, "bl", 8, 40)))
         .when(sort == 2, made(F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), "access_key"))
-        .when(sort == 3, made(F.concat(pick("v", ("ghp_", "gho_", "sk_live_", "xoxb-", "AIza")), cut(base, "vl", 36, 120)), "vendor_token"))
+        .when(sort == 3, made(F.concat(pick("v", ("ghp_", "gho_", "sk_live_", "xoxb-", "AIza", "github_pat_", "glpat-", "sk-")), cut(base, "vl", 36, 120)), "vendor_token"))
         .when(sort == 4, made(F.concat(F.lit("eyJ"), F.substring(base, 1, 20), F.lit("."), F.substring(base, 20, 30), F.lit("."), F.substring(base, 5, 40)), "web_token"))
         .when(sort == 5, made(F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), base, F.lit("\n-----END PRIVATE KEY-----")), "private_key"))
         .when(sort.isin(6, 7), made(cut(signs, "sl", 8, 24)))
@@ -123,7 +138,8 @@ def training_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         F.when(sort == 0, made(F.concat(word("w1"), between("j"), word("w2"), between("j2"), word("w3"))))
         .when(sort == 1, made(F.concat(word("w4"), F.repeat(pick("r", ("x", "0", "*", "-", "1")), 12))))
         .when(sort == 2, made(F.concat(F.lit("AKIA"), F.substring(upper, 1, 9), F.lit("EXAMPLE")), "access_key"))
-        .when(sort == 3, made(F.concat(F.lit("ghp_"), F.repeat(pick("r2", ("x", "0", "a")), 36)), "vendor_token"))
+        .when((sort == 3) & (draw("v2", 2) == 0), made(F.concat(F.lit("ghp_"), F.repeat(pick("r2", ("x", "0", "a")), 36)), "vendor_token"))
+        .when(sort == 3, made(F.concat_ws("-", F.lit("sk"), letters("k1", 4, 9), plain("k2"), letters("k3", 4, 9), plain("k4"), letters("k5", 3, 9)), "vendor_token"))
         .when(sort == 4, made(F.substring(noise("c"), F.lit(1), pick("cl", (32, 40, 64)))))
         .when(sort == 5, made(F.concat(word("w5"), F.lit("_1234567890"), word("w6"))))
         .when(sort == 6, made(F.concat(pick("o1", ("", "(", "the-")), letters("p1", 8, 14), pick("o2", ("", ",", ".", "),", ";")))))
@@ -183,28 +199,34 @@ def scan(df: DataFrame, forest: list, text_col: str = "text", least: float = VOT
         raise ValueError(f"the table has columns {sorted(clash)}")
     text = F.col(text_col)
     empty = F.array().cast("array<string>")
-    found, between, candidates, measured, vote, blocks, offsets, ends = names = unused(df, "_found", "_between", "_candidates", "_measured", "_votes", "_blocks", "_offsets", "_ends")
+    found, between, candidates, measured, vote, blocks, ends, findings = names = unused(df, "_found", "_between", "_candidates", "_measured", "_votes", "_blocks", "_ends", "_results")
     columns = df.columns
+    # Arrays meet by zip_with alone: the optimizer may put an array's expression where its column is read, which must not be within a function of elements.
     df = df.withColumn(found, F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), empty))
     df = df.withColumn(between, F.when(F.size(found) > 0, F.split(text, PATTERN, -1)).otherwise(empty))
-
-    def candidate(value, i):
-        before, after = F.get(between, i), F.get(between, i + 1)
-        return F.struct(value.alias("found"), _value(value).alias("value"), _kind(value).alias("kind"), F.right(before, F.lit(AROUND)).alias("before"), F.left(after, F.lit(AROUND)).alias("after"), (F.length(before) + F.length(value)).alias("step"), F.length(value).alias("length"))
-
-    df = df.withColumn(candidates, F.transform(found, candidate))
+    # What stands before the keyword of a name stays as text.
+    name = lambda v: F.when(_kind(v) == "assignment", F.regexp_extract(v, rf"^[{NAME}]*?(?={KEYWORD})", 0)).otherwise("")
+    df = df.withColumn(found, F.transform(found, lambda v: F.struct(name(v).alias("name"), v.alias("found"))))
+    df = df.withColumn(between, F.zip_with(between, found, lambda b, v: F.concat(b, F.coalesce(v["name"], F.lit("")))))
+    df = df.withColumn(found, F.transform(found, lambda v: F.substring(v["found"], F.length(v["name"]) + 1, F.length(v["found"]))))
+
+    def candidate(value, around):
+        before, after = around["before"], around["after"]
+        return F.struct(value.alias("found"), _value(value, _kind(value)).alias("value"), _kind(value).alias("kind"), F.right(before, F.lit(AROUND)).alias("before"), F.left(after, F.lit(AROUND)).alias("after"), (F.length(before) + F.length(value)).alias("step"), F.length(value).alias("length"))
+
+    count = F.size(found)
+    around = F.zip_with(F.slice(between, F.lit(1), count), F.slice(between, F.lit(2), count), lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+    df = df.withColumn(candidates, F.zip_with(found, around, candidate))
     df = df.withColumn(measured, F.transform(candidates, lambda c: F.struct(*[f.cast("double").alias(n) for n, f in _features(c["value"], c["before"], c["after"], c["kind"]).items()])))
     df = df.withColumn(vote, F.transform(measured, lambda m: votes(forest, lambda name: m[name])))
     # Where candidates end: running sums within blocks, and of the blocks' totals.
-    count = F.size(candidates)
     starts = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)), F.lit(TOGETHER))).otherwise(F.array().cast("array<int>"))
     df = df.withColumn(blocks, F.transform(starts, lambda b: _sums(F.transform(F.slice(candidates, b, F.lit(TOGETHER)), lambda c: c["step"]))))
-    df = df.withColumn(offsets, _sums(F.transform(blocks, lambda b: F.try_element_at(b, F.lit(-1)))))
-    df = df.withColumn(ends, F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: x + F.coalesce(F.get(offsets, i - 1), F.lit(0))))))
-    findings = F.transform(
-        candidates,
-        lambda c, i: F.struct((F.get(ends, i) - c["length"]).alias("start"), F.get(ends, i).alias("end"), c["kind"].alias("kind"), F.get(vote, i).alias("votes"), (F.get(vote, i) >= least).alias("secret")),
-    )
-    parts = F.transform(between, lambda b, i: F.concat(b, F.when(F.get(vote, i) >= least, F.concat(F.lit("["), F.get(candidates, i)["kind"], F.lit("]"))).otherwise(F.coalesce(F.get(found, i), F.lit("")))))
-    cleared = F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text)
-    return df.withColumn(findings_col, findings).withColumn(cleared_col, cleared).drop(*names).select(*columns, findings_col, cleared_col)
+    before = F.concat(F.array(F.lit(0)), _sums(F.transform(blocks, lambda b: F.try_element_at(b, F.lit(-1)))))
+    df = df.withColumn(ends, F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, o: F.transform(b, lambda x: x + o))))
+    place = F.zip_with(ends, vote, lambda e, v: F.struct(e.alias("end"), v.alias("votes")))
+    result = lambda c, p: F.struct((p["end"] - c["length"]).alias("start"), p["end"].alias("end"), c["kind"].alias("kind"), p["votes"].alias("votes"), (p["votes"] >= least).alias("secret"))
+    df = df.withColumn(findings, F.zip_with(candidates, place, result))
+    shown = F.zip_with(found, findings, lambda v, f: F.when(f["secret"], F.concat(F.lit("["), f["kind"], F.lit("]"))).otherwise(v))
+    cleared = F.when(count > 0, F.array_join(F.zip_with(between, shown, lambda b, s: F.concat(b, F.coalesce(s, F.lit("")))), "")).otherwise(text)
+    return df.withColumn(findings_col, F.col(findings)).withColumn(cleared_col, cleared).drop(*names).select(*columns, findings_col, cleared_col)
