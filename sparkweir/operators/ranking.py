@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from .folds import fold
 
 
 def rank_of(column: Column, values: list[str]) -> Column:
@@ -43,16 +46,14 @@ def text_pages(text: Column, size: int) -> Column:
 
 
 def packed(df: DataFrame, keys: list[str], order: list[str], size: Column, limit: int) -> DataFrame:
-    """df with `bin`: rows of a key in order fill bins of a limited size, one after another; a larger row has a bin of its own. A fold over each key's rows, which one row holds."""
-    fields = [*order, *[c for c in df.columns if c not in (*order, *keys)]]
-    rows = F.array_sort(F.collect_list(F.struct(*fields, size.cast("long").alias("_size"))))
-    start = F.struct(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("bins"))
-
-    def fill(state, row):
-        full = (state["used"] > 0) & (state["used"] + row["_size"] > limit)
-        at = F.when(full, state["bin"] + 1).otherwise(state["bin"])
-        return F.struct(at.alias("bin"), (F.when(full, F.lit(0)).otherwise(state["used"]) + row["_size"]).alias("used"), F.concat(state["bins"], F.array(at)).alias("bins"))
-
-    grouped = df.groupBy(*keys).agg(rows.alias("_rows")).withColumn("_bins", F.aggregate("_rows", start, fill)["bins"])
-    placed = grouped.select(*keys, F.inline(F.transform("_rows", lambda r, i: F.struct(*[r[c].alias(c) for c in fields], F.get("_bins", i).alias("bin")))))
-    return placed.select(*df.columns, "bin")
+    """df with `bin`: rows of a key in order fill bins of a limited size, one after another; a larger row has a bin of its own."""
+    columns = df.columns
+
+    def step(state: list, row: dict):
+        if state[1] > 0 and state[1] + row["_size"] > limit:
+            state[:] = state[0] + 1, 0
+        state[1] += row["_size"]
+        return ((*(row[c] for c in columns), state[0]),)
+
+    rest = [c for c in columns if c not in (*order, *keys)]
+    return fold(df.withColumn("_size", size.cast("long")), keys, [*order, *rest], StructType([*df.schema.fields, StructField("bin", IntegerType())]), lambda key: [0, 0], step)

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import joins, latest, quality, rules
+from ..operators import joins, latest, matching, quality, rules
 from .registry import query, table
 from .selections import EVENTS_NOW, EVENTS_NOW_SQL, ntz
 
@@ -192,11 +192,39 @@ def c_span_suppression(spark, sf_dir):
     return joins.overlapping(spans, ["l_orderkey"], "start", "end", 0.55)
 
 
+#: Of a page: its site, language and number as its address has them.
+PAGES_SQL = """p AS (SELECT page_id, url, regexp_extract(url, '([^./]+[.][a-z]+)/[a-z]+/[0-9]+', 1) AS site, regexp_extract(url, '/([a-z]+)/([0-9]+)', 1) AS lang, regexp_extract(url, '/([a-z]+)/([0-9]+)', 2) AS num, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)"""
+
+
+def _pages(spark, sf_dir):
+    part = lambda pattern, n: F.regexp_extract("url", pattern, n)
+    return table(spark, sf_dir, "pages").select("page_id", "url", part("([^./]+[.][a-z]+)/[a-z]+/[0-9]+", 1).alias("site"), part("/([a-z]+)/([0-9]+)", 1).alias("lang"), part("/([a-z]+)/([0-9]+)", 2).alias("num"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
 @query(
     "C28",
-    """WITH p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#:]+)', 1) AS host FROM pages) SELECT DISTINCT a.page_id, b.page_id AS other FROM p a JOIN p b ON a.host = b.host AND a.page_id < b.page_id AND (contains(a.url, b.url) OR contains(b.url, a.url))""",
+    rf"""WITH {PAGES_SQL}, s AS (SELECT page_id AS stored_id, site, regexp_replace(url, '[?#].*$', '') AS url, num || CASE WHEN contains(url, '?') THEN '_' ELSE '.' END || lang || '.html' AS filename, 'store/' || lang || '/' || num || CASE WHEN contains(url, '#') THEN '_page' ELSE '' END || '/index.html' AS path FROM p),
+        w AS (SELECT page_id AS wanted_id, site, num AS id, url, [title, lang || ' ' || num] AS names FROM p),
+        c AS (SELECT stored_id, wanted_id, s.site, s.url AS su, w.url AS wu, filename, path, id, names FROM s JOIN w ON s.site = w.site),
+        n AS (SELECT stored_id, wanted_id, trim(regexp_replace(regexp_replace(replace(lower(h), 'ё', 'е'), '\.[a-z0-9]{{1,8}}\b', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS h, trim(regexp_replace(regexp_replace(replace(lower(m), 'ё', 'е'), '\.[a-z0-9]{{1,8}}\b', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS m
+              FROM (SELECT stored_id, wanted_id, h, unnest(names) AS m FROM (SELECT stored_id, wanted_id, unnest([filename, path]) AS h, names FROM c))),
+        t AS (SELECT DISTINCT stored_id, wanted_id FROM n WHERE h <> '' AND m <> '' AND (contains(h, m) OR contains(m, h))),
+        r AS (SELECT stored_id, wanted_id, CASE WHEN id <> '' AND su = wu THEN 1 WHEN id <> '' AND (starts_with(filename, id || '_') OR starts_with(filename, id || '-')) THEN 2 WHEN id <> '' AND contains(path, '/' || id || '_') THEN 3 WHEN t.stored_id IS NOT NULL THEN 4 END AS rule FROM c LEFT JOIN t USING (stored_id, wanted_id))
+        SELECT stored_id, wanted_id, rule FROM r WHERE rule IS NOT NULL""",
 )
 def c_document_matches(spark, sf_dir):
+    p = _pages(spark, sf_dir)
+    mark = lambda sign, yes, no: F.when(F.contains("url", F.lit(sign)), F.lit(yes)).otherwise(F.lit(no))
+    stored = p.select("site", F.col("page_id").alias("stored_id"), F.regexp_replace("url", "[?#].*$", "").alias("url"), F.concat("num", mark("?", "_", "."), "lang", F.lit(".html")).alias("filename"), F.concat(F.lit("store/"), "lang", F.lit("/"), "num", mark("#", "_page", ""), F.lit("/index.html")).alias("path"))
+    wanted = p.select("site", F.col("page_id").alias("wanted_id"), F.col("num").alias("id"), "url", F.array("title", F.concat_ws(" ", "lang", "num")).alias("names"))
+    return matching.document_matches(stored, wanted, "site")
+
+
+@query(
+    "C28",
+    """WITH p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#:]+)', 1) AS host FROM pages) SELECT DISTINCT a.page_id, b.page_id AS other FROM p a JOIN p b ON a.host = b.host AND a.page_id < b.page_id AND (contains(a.url, b.url) OR contains(b.url, a.url))""",
+)
+def c_addresses_within(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "://([^/?#:]+)", 1).alias("host"))
     return joins.contained(p, "page_id", "url", "host").select(F.least("outer", "inner").alias("page_id"), F.greatest("outer", "inner").alias("other")).distinct()
 

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import ledger
+from ..operators import jobs, ledger
 from .registry import query, table
 from .selections import EVENTS_NOW, EVENTS_NOW_SQL, ntz
 
@@ -43,6 +43,40 @@ def l_transitions(spark, sf_dir):
     return ledger.invalid_transitions(log, ["user_id"], ["event_id"], allowed).select("event_id", "from_state", "state")
 
 
+#: Users' events as a log of asked steps: what each type asks for; sign-ups grant a redrive where their value is high.
+STEP_OF = {"view": "processing", "click": "retry_scheduled", "purchase": "dead_lettered", "signup": "accepted"}
+
+
+def _job_log(spark, sf_dir):
+    kind = F.col("event_type")
+    target = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in STEP_OF.items()], F.when(F.col("value") < 5, F.lit("succeeded")).otherwise(F.lit("retry_scheduled")))
+    error = F.when((F.col("value") > 2) & kind.isin("click", "purchase", "error"), F.col("event_type"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), target.alias("target"), F.lit("worker").alias("owner"), error.alias("error"), (F.col("value") > 20).alias("granted"), F.lit(dt.datetime(2024, 1, 28)).alias("deadline"))
+
+
+@query(
+    "L05 L07 L09",
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS job, ts AS "at", event_id AS seq, value > 20 AS granted, CASE WHEN value > 2 AND event_type IN ('click', 'purchase', 'error') THEN event_type END AS error,
+          CASE event_type WHEN 'view' THEN 'processing' WHEN 'click' THEN 'retry_scheduled' WHEN 'purchase' THEN 'dead_lettered' WHEN 'signup' THEN 'accepted' ELSE CASE WHEN value < 5 THEN 'succeeded' ELSE 'retry_scheduled' END END AS target,
+          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+        r AS (SELECT DISTINCT job, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS TIMESTAMP) AS "at", '' AS from_state, 'accepted' AS state, '' AS verdict, 0 AS attempts, CAST(NULL AS TIMESTAMP) AS until, false AS lapsed, CAST(NULL AS TIMESTAMP) AS lapsed_at, '' AS lapsed_to, 0 AS lapsed_attempts, CAST(NULL AS TIMESTAMP) AS lapsed_until FROM e
+          UNION ALL
+          SELECT job, i, seq, "at", held, CASE WHEN said = 'ok' THEN target ELSE held END, said,
+            CASE WHEN said <> 'ok' THEN attempts WHEN target = 'processing' THEN attempts + 1 WHEN target = 'accepted' THEN 0 ELSE attempts END,
+            CASE WHEN said <> 'ok' THEN held_until WHEN target = 'processing' THEN "at" + INTERVAL 86400 SECOND WHEN target = 'retry_scheduled' THEN "at" + to_seconds(delay) WHEN target = 'accepted' THEN "at" END,
+            over, CASE WHEN over THEN until END, held, attempts, held_until
+          FROM (SELECT *, CASE WHEN NOT CASE held WHEN 'accepted' THEN target = 'processing' WHEN 'processing' THEN target IN ('succeeded', 'retry_scheduled', 'dead_lettered') WHEN 'retry_scheduled' THEN target IN ('processing', 'dead_lettered') WHEN 'dead_lettered' THEN target = 'accepted' ELSE false END THEN 'invalid'
+              WHEN target = 'processing' AND "at" > TIMESTAMP '2024-01-28' THEN 'deadline' WHEN target = 'processing' AND attempts >= 3 THEN 'exhausted' WHEN target IN ('retry_scheduled', 'dead_lettered') AND error IS NULL THEN 'no error'
+              WHEN target = 'retry_scheduled' AND attempts >= 3 THEN 'exhausted' WHEN target = 'accepted' AND NOT granted THEN 'not granted' ELSE 'ok' END AS said
+            FROM (SELECT *, CASE WHEN over AND attempts < 3 THEN 'retry_scheduled' WHEN over THEN 'dead_lettered' ELSE state END AS held, CASE WHEN over AND attempts < 3 THEN until + to_seconds(delay) WHEN over THEN NULL ELSE until END AS held_until
+              FROM (SELECT *, least(3600, doubled + CAST('0x' || substr(sha256(job || ':' || attempts), 1, 4) AS INTEGER) % (greatest(1, doubled // 5) + 1)) AS delay
+                FROM (SELECT e.job, e.i, e.seq, e."at", e.granted, e.error, e.target, r.state, r.attempts, r.until, r.state = 'processing' AND r.until <= e."at" AS over, least(3600, 30 * CAST(pow(2, greatest(r.attempts, 1) - 1) AS INTEGER)) AS doubled FROM r JOIN e ON e.job = r.job AND e.i = r.i + 1)))))
+        SELECT job, seq, "at", from_state, state AS to_state, verdict, attempts, until FROM r WHERE i > 0 UNION ALL SELECT job, NULL, lapsed_at, 'processing', lapsed_to, 'lapsed', lapsed_attempts, lapsed_until FROM r WHERE lapsed""",
+)
+def l_job_steps(spark, sf_dir):
+    return jobs.run(_job_log(spark, sf_dir), jobs.Policy(first_state="accepted", lease_seconds=86400))
+
+
 @query(
     "L08 L10",
     """SELECT c_custkey AS operation, CASE WHEN o.d IS NULL THEN 'new' WHEN o.d = c_mktsegment THEN 'reuse' ELSE 'conflict' END AS decision FROM customer LEFT JOIN (SELECT o_custkey, CASE MIN(o_orderkey) % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'HOUSEHOLD' END AS d FROM orders WHERE o_totalprice > 300000 GROUP BY 1) o ON o_custkey = c_custkey""",
