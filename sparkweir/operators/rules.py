@@ -8,7 +8,6 @@ as empty.
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.lazy import pandas_function
 from ..functions.text import contains_any, matching, normal
 from .cascade import all_matches, any_of, first_match
+from .near import alike  # noqa: F401
 
 Lexicon = dict[str, list[str]]
 
@@ -238,39 +238,6 @@ def occurrences_grade(text: Column, names: Column, phones: Column, mails: Column
     return F.when(name & phone, F.lit("A")).when(phone, F.lit("B")).when(name & mail, F.lit("C")).otherwise(F.lit("none"))
 
 
-def alike(a: str | None, b: str | None, contained: int = 24, ratio: float = 0.86) -> bool:
-    """Equal but for case and space, one within the other at such a length, or as alike as the ratio by matching blocks."""
-    x, y = (" ".join((t or "").lower().split()) for t in (a, b))
-    if x == y:
-        return True
-    short, long = sorted((x, y), key=len)
-    if len(short) >= contained and short in long:
-        return True
-    matcher = difflib.SequenceMatcher(None, x, y, autojunk=False)
-    # The first two are upper bounds of the third and far cheaper.
-    return bool(short) and matcher.real_quick_ratio() >= ratio and matcher.quick_ratio() >= ratio and matcher.ratio() >= ratio
-
-
-@pandas_function("boolean")
-def near_text(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([alike(x, y) for x, y in zip(a, b)], dtype="boolean")
-
-
-@pandas_function("array<string>")
-def without_near(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Texts of a list without those alike to an earlier one."""
-
-    def one(items):
-        kept: list[str] = []
-        for item in items if items is not None else []:
-            if not any(alike(item, k) for k in kept):
-                kept.append(item)
-        return kept
-
-    for part in texts:
-        yield part.map(one)
-
-
 def export_status(hidden: Column, has_report: Column, expired: Column) -> Column:
     return first_match([("expired", expired), ("hidden", hidden.isNotNull()), ("ready", has_report)], "waiting")
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import cascade, rules
+from ..operators import cascade, near, rules
 from .registry import query, table
 from .selections import NOW, NOW_SQL, ntz
 
@@ -177,13 +178,16 @@ def k_staleness(spark, sf_dir):
 
 @query("K50 K59")
 def k_near_texts(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
-    one = c.select("conv_id", F.get("texts", F.lit(0)).alias("a"), F.get("texts", F.lit(1)).alias("b"), "texts")
-    return one.select("conv_id", rules.near_text("a", "b").alias("alike"), F.size(rules.without_near("texts")).alias("kept"))
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")).alias("at")
+    told = near.without_near(table(spark, sf_dir, "conversations").select("conv_id", at, "text"), "conv_id", "at", "text")
+    # A talk of one text is held against an empty one.
+    alone = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.every(near.plain(F.col("text")) == "").alias("blank"))
+    kept = told.groupBy("conv_id").agg(F.max(F.when(F.col("at") == 2, F.array_contains("near", 1))).alias("second"), F.count_if("kept").cast("int").alias("kept"))
+    return kept.join(alone, "conv_id").select("conv_id", F.coalesce("second", "blank").alias("alike"), "kept")
 
 
 @query(
-    "K55-K58 K60-K63 K69 K72",
+    "K72",
     """SELECT doc_id, CASE WHEN contains(lower(text), 'password') THEN 'guarded' WHEN contains(lower(text), '@') AND n_chars < 2000 THEN 'preliminary' WHEN n_chars < 300 THEN 'lacks_text' WHEN contains(lower(text), 'http') THEN 'unprocessed_link' END AS reason,
        CASE WHEN contains(lower(text), 'password') THEN 'no_go' ELSE 'maybe' END AS verdict, n_chars < 100 OR contains(text, '____') AS blank FROM documents""",
 )
