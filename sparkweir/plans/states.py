@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import jobs, ledger
+from ..sources import appendlog, files
 from .registry import query, table
 from .selections import EVENTS_NOW, EVENTS_NOW_SQL, ntz
 
@@ -21,7 +22,7 @@ def l_versions(spark, sf_dir):
 
 
 @query(
-    "L05 L06 L16 L17 A20 A36",
+    "L05 L06 A36",
     """WITH s AS (SELECT user_id, arg_max(CASE event_type WHEN 'purchase' THEN 'sent' WHEN 'signup' THEN 'claimed' WHEN 'error' THEN 'released' ELSE 'uncertain' END, (ts, event_id)) AS state FROM events GROUP BY 1)
        SELECT c_custkey AS user_id FROM customer LEFT JOIN s ON user_id = c_custkey WHERE state IS NULL OR state = 'released'""",
 )
@@ -43,6 +44,63 @@ def l_transitions(spark, sf_dir):
     return ledger.invalid_transitions(log, ["user_id"], ["event_id"], allowed).select("event_id", "from_state", "state")
 
 
+def _log(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("kind"), "ts")
+
+
+@query("A20 A21", "SELECT event_id, user_id, event_type AS kind, ts FROM events")
+def a_event_log(spark, sf_dir):
+    """Events appended in batches that overlap, the first of them twice: each is there once."""
+    folder, e = files.scratch(spark), _log(spark, sf_dir)
+    early, late = e.where(F.col("ts") < ntz(dt.datetime(2024, 1, 16))), e.where(F.col("ts") >= ntz(dt.datetime(2024, 1, 10)))
+    for batch, rows in (("1", early), ("1", early), ("2", late), ("3", e)):
+        appendlog.append_once(rows, folder, batch, ["event_id"])
+    return appendlog.read(spark, folder, e.schema)
+
+
+@query("L15", "SELECT event_type AS kind, COUNT(*) AS n, MAX(event_id) AS last FROM events GROUP BY 1")
+def l_append_only(spark, sf_dir):
+    """A log that is to be overwritten, and one that gets rows without a key, stay as they are."""
+    folder, e = files.scratch(spark), _log(spark, sf_dir)
+    appendlog.append_once(e, folder, "1", ["event_id"])
+    refused = 0
+    without_key = e.withColumn("event_id", F.when(F.col("kind") != "view", F.col("event_id") + 1_000_000_000))
+    for attempt in (lambda: e.limit(1).write.format("append_log").mode("overwrite").options(path=folder, batch="2", keys="event_id").save(), lambda: appendlog.append_once(without_key, folder, "3", ["event_id"])):
+        try:
+            attempt()
+        except Exception as said:
+            if "Refused" not in str(said):
+                raise
+            refused += 1
+    if refused != 2:
+        raise AssertionError("a log was changed")
+    return appendlog.read(spark, folder, e.schema).groupBy("kind").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+@query("L16 L05", "SELECT user_id, COUNT(*) AS attempts, MAX(ts) AS last, CASE WHEN COUNT(*) >= 15 THEN 'failed' ELSE 'retry' END AS state FROM events WHERE event_type = 'error' GROUP BY 1")
+def l_recorded_attempts(spark, sf_dir):
+    """Attempts are rows of a log; counts of them tell which keys have none left."""
+    folder, e = files.scratch(spark), _log(spark, sf_dir).where("kind = 'error'")
+    appendlog.append_once(e, folder, "1", ["event_id"])
+    counted = appendlog.read(spark, folder, e.schema).groupBy("user_id").agg(F.count("*").alias("attempts"), F.max("ts").alias("last"))
+    return counted.withColumn("state", ledger.attempts_state(F.col("attempts"), 15))
+
+
+@query(
+    "L17",
+    """SELECT user_id, COUNT(*) FILTER (WHERE event_type = 'click') AS done, COUNT(*) FILTER (WHERE event_type = 'error') AS failed, CASE WHEN COUNT(*) FILTER (WHERE event_type = 'error') = 0 THEN 'complete' WHEN COUNT(*) FILTER (WHERE event_type = 'click') = 0 THEN 'failed' ELSE 'partial' END AS state
+       FROM events WHERE event_type IN ('click', 'error') GROUP BY 1""",
+)
+def l_partial_downloads(spark, sf_dir):
+    """One state event for each key, appended: how many of its parts came, and what that makes."""
+    folder, e = files.scratch(spark), _log(spark, sf_dir)
+    counted = e.where(F.col("kind").isin("click", "error")).groupBy("user_id").agg(F.count_if(F.col("kind") == "click").alias("done"), F.count_if(F.col("kind") == "error").alias("failed"))
+    state = F.when(F.col("failed") == 0, F.lit("complete")).when(F.col("done") == 0, F.lit("failed")).otherwise(F.lit("partial"))
+    said = counted.withColumn("state", state)
+    appendlog.append_once(said, folder, "1", ["user_id"])
+    return appendlog.read(spark, folder, said.schema)
+
+
 #: Users' events as a log of asked steps: what each type asks for; sign-ups grant a redrive where their value is high.
 STEP_OF = {"view": "processing", "click": "retry_scheduled", "purchase": "dead_lettered", "signup": "accepted"}
 
