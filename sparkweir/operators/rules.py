@@ -301,7 +301,7 @@ def section_finder(start: str, stop: str, most: int = 6000):
 
 
 def windows(text: str | None, words: list[str], radius: int, most: int) -> list[dict]:
-    """(start, end) around words, those that would overlap the one before left out."""
+    """(start, end) around words, those that would overlap the one before left out: of one text, outside Spark."""
     import re
 
     out: list[dict] = []
@@ -317,12 +317,10 @@ def windows(text: str | None, words: list[str], radius: int, most: int) -> list[
 
 
 def window_finder(words: list[str], radius: int, most: int = 12):
-    @pandas_function("array<struct<start:int,end:int>>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield part.map(lambda t: windows(t, words, radius, most))
+    """windows() as a column, in the JVM."""
+    from .excerpts import windows as around
 
-    return run
+    return lambda text: F.when(F.lit(bool(words)), around(F.col(text) if isinstance(text, str) else text, words or ["x"], radius, radius, most))
 
 
 def coded_row(line: Column) -> Column:

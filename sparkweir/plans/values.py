@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import dates, jsonx, text
-from ..operators import cascade, ranking, rules
+from ..operators import cascade, excerpts, ranking, rules
 from .registry import query, table
 from .selections import NOW, NOW_SQL, ntz
 
@@ -95,6 +95,15 @@ def h_table_cells(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.cells(line)).cast("long").alias("cells"))
 
 
+@query("H20-H22 H39 H40")
+def h_excerpts(spark, sf_dir):
+    """Windows around words and patterns, and excerpts with a budget for each group of words."""
+    d, t = table(spark, sf_dir, "documents"), F.col("text")
+    groups = [(["password", "token"], 3), (["the", "und", "que"], 3), (["price", "@"], 2)]
+    near = excerpts.windows(t, r"(?i)\b(?:ship|deliver|within)\w*", 350, 700, 8)
+    return d.select("doc_id", excerpts.windows(t, r"\b\d{2,}\b", 30, 60, 12).alias("numbers"), near.alias("delivery"), excerpts.cut(t, excerpts.budgeted(t, groups, 80, 160, 10)).alias("excerpts"))
+
+
 @query("H18-H22 H39 H40 C27 K26")
 def h_windows_and_sections(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
