@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import cascade, near, rules
+from ..operators import cascade, lexicon, near, rules
 from .registry import query, table
 from .selections import NOW, NOW_SQL, ntz
 
@@ -36,6 +36,42 @@ def k_lexical_gate(spark, sf_dir):
     return d.select("doc_id", g.alias("g")).select("doc_id", "g.accepted", "g.hit")
 
 
+#: Rules over the groups of the lexicon, the first that holds; taken passages win over shouting, contacts over both.
+RULES = [
+    lexicon.Rule("contact", any=("contact",), unless=("taken",)),
+    lexicon.Rule("taken", any=("taken",), least=2),
+    lexicon.Rule("mixed", all=("english", "german")),
+    lexicon.Rule("headed", title=("opening",), unless=("romance",)),
+    lexicon.Rule("german", any=("german",)),
+]
+_TOKENS = r"list_filter(regexp_split_to_array(replace(lower(COALESCE({0}, '')), 'ё', 'е'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query(
+    "K01-K03 K13 K17-K20 H05-H07",
+    rf"""WITH own AS (SELECT unnest(['english', 'english', 'german', 'german', 'romance', 'romance', 'contact', 'contact']) AS g, unnest(['the', 'and', 'der', 'und', 'que', 'de la', 'password', 'token*']) AS phrase),
+        open AS (SELECT 'opening' AS g, array_to_string({_TOKENS.format("title")}[1:2], ' ') AS phrase FROM (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)),
+        taken AS (SELECT 'taken' AS g, unnest([array_to_string(w[1:5], ' '), array_to_string(w[6:10], ' '), array_to_string(w[11:15], ' ')]) AS phrase FROM (SELECT {_TOKENS.format("text")} AS w FROM benchmark)),
+        x AS (SELECT DISTINCT g, ' ' || replace(phrase, '*', '') || CASE WHEN phrase LIKE '%*' THEN '' ELSE ' ' END AS phrase FROM (SELECT * FROM own UNION ALL SELECT * FROM open UNION ALL SELECT * FROM taken) WHERE phrase <> ''),
+        d AS (SELECT doc_id, ' ' || array_to_string({_TOKENS.format("text")}, ' ') || ' ' AS b, ' ' || array_to_string({_TOKENS.format("substr(text, 1, 60)")}, ' ') || ' ' AS t FROM documents),
+        n AS (SELECT doc_id, g, SUM(CAST((length(replace(b, ' ', '  ')) - length(replace(replace(b, ' ', '  '), replace(phrase, ' ', '  '), ''))) / length(replace(phrase, ' ', '  ')) AS BIGINT)) AS n FROM d JOIN x ON contains(b, phrase) GROUP BY 1, 2),
+        h AS (SELECT doc_id, bool_or(g = 'opening') AS opening FROM d JOIN x ON contains(t, phrase) GROUP BY 1),
+        f AS (SELECT d.doc_id, COALESCE(opening, false) AS opening, COALESCE(m['contact'], 0) AS contact, COALESCE(m['taken'], 0) AS taken, COALESCE(m['english'], 0) AS english, COALESCE(m['german'], 0) AS german, COALESCE(m['romance'], 0) AS romance, COALESCE(signals, '') AS signals
+              FROM d LEFT JOIN (SELECT doc_id, map_from_entries(list((g, n))) AS m, string_agg(g, ',' ORDER BY g) AS signals FROM n GROUP BY 1) USING (doc_id) LEFT JOIN h USING (doc_id))
+        SELECT doc_id, CASE WHEN contact > 0 AND taken = 0 THEN 'contact' WHEN taken >= 2 THEN 'taken' WHEN english > 0 AND german > 0 THEN 'mixed' WHEN opening AND romance = 0 THEN 'headed' WHEN german > 0 THEN 'german' ELSE 'other' END AS decision, signals FROM f""",
+)
+def k_lexicon_rules(spark, sf_dir):
+    """Rules over a lexicon of which most is a table: openings of titles and runs of five words of benchmark items."""
+    own = spark.createDataFrame([(g, p) for g, some in {"english": ["the", "and"], "german": ["der", "und"], "romance": ["que", "de la"], "contact": ["password", "token*"]}.items() for p in some], "group string, phrase string")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    opening = table(spark, sf_dir, "pages").select(F.lit("opening").alias("group"), F.array_join(F.slice(lexicon.words(title), 1, 2), " ").alias("phrase"))
+    w = lexicon.words(F.col("text"))
+    taken = table(spark, sf_dir, "benchmark").select(F.lit("taken").alias("group"), F.explode(F.array(*[F.array_join(F.slice(w, at, 5), " ") for at in (1, 6, 11)])).alias("phrase"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring("text", 1, 60).alias("title"))
+    decided = lexicon.decide(docs, own.unionByName(opening).unionByName(taken), "doc_id", "title", "text", RULES, "other")
+    return decided.select("doc_id", "decision", F.array_join("signals", ",").alias("signals"))
+
+
 @query(
     "K14 K17 K20",
     f"""WITH d AS (SELECT doc_id, lower(text) AS b FROM documents), f AS (SELECT doc_id, {", ".join(f"{v} AS {k}" for k, v in _FLAGS.items())} FROM d),
