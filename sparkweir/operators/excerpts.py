@@ -79,3 +79,35 @@ def budgeted(text: Column, groups: list[tuple[list[str], int]], before: int, aft
 def cut(text: Column, spans: Column) -> Column:
     """The texts of spans."""
     return F.transform(spans, lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+
+
+#: Sections that are held in one array before the next is begun, so that many of them cost no square.
+TOGETHER = 64
+
+
+def sections(text: Column, start: str, stop: str, most: int = 6000) -> Column:
+    """(start, end, title) of sections: from a line that start fits, in any case, to the next that stop fits or that is so many characters on. The title is the line, 120 characters at most. Null and empty texts have none."""
+    fits = lambda line, pattern: F.regexp_like(line, F.lit(f"(?iU){pattern}"))
+    line = lambda x: F.struct(F.length(x).alias("size"), fits(x, start).alias("begins"), fits(x, stop).alias("ends"), F.left(F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), F.lit(120)).alias("title"))
+    kind = "array<struct<start:int,end:int,title:string>>"
+    none = F.array().cast(kind)
+    first = F.struct(F.lit(0).alias("pos"), F.lit(-1).alias("at"), F.lit("").alias("title"), none.alias("open"), F.array().cast(f"array<{kind}>").alias("full"))
+
+    def step(s: Column, x: Column) -> Column:
+        over = (s["at"] >= 0) & (x["ends"] | (s["pos"] - s["at"] >= most))
+        begins = ((s["at"] < 0) | over) & x["begins"]
+        shut = F.size(s["open"]) >= TOGETHER
+        done = F.array(F.struct(s["at"].alias("start"), s["pos"].alias("end"), s["title"].alias("title")))
+        return F.struct(
+            (s["pos"] + x["size"] + 1).alias("pos"),
+            F.when(begins, s["pos"]).when(over, F.lit(-1)).otherwise(s["at"]).alias("at"),
+            F.when(begins, x["title"]).otherwise(s["title"]).alias("title"),
+            F.when(over, F.concat(F.when(shut, none).otherwise(s["open"]), done)).otherwise(s["open"]).alias("open"),
+            F.when(over & shut, F.concat(s["full"], F.array(s["open"]))).otherwise(s["full"]).alias("full"),
+        )
+
+    def end(s: Column) -> Column:
+        last = F.when(s["at"] >= 0, F.array(F.struct(s["at"].alias("start"), F.least(s["pos"] - 1, s["at"] + most).alias("end"), s["title"].alias("title")))).otherwise(none)
+        return F.concat(F.flatten(s["full"]), s["open"], last)
+
+    return F.aggregate(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), line), first, step, end)

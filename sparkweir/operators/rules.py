@@ -8,14 +8,11 @@ as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lazy import pandas_function
 from ..functions.text import contains_any, matching, normal
 from .cascade import all_matches, any_of, first_match
 from .near import alike  # noqa: F401
@@ -273,7 +270,7 @@ def backfill_outcome(row: dict[str, Column]) -> Column:
 
 
 def sections(text: str | None, start: str, stop: str, most: int = 6000) -> list[dict]:
-    """(start, end, title) of sections: from a heading that start fits to the next that stop fits, or so many characters."""
+    """(start, end, title) of sections: from a heading that start fits to the next that stop fits, or so many characters: of one text, outside Spark."""
     import re
 
     out, at = [], None
@@ -292,12 +289,10 @@ def sections(text: str | None, start: str, stop: str, most: int = 6000) -> list[
 
 
 def section_finder(start: str, stop: str, most: int = 6000):
-    @pandas_function("array<struct<start:int,end:int,title:string>>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield part.map(lambda t: sections(t, start, stop, most))
+    """sections() as a column, in the JVM."""
+    from .excerpts import sections as found
 
-    return run
+    return lambda text: found(F.col(text) if isinstance(text, str) else text, start, stop, most)
 
 
 def windows(text: str | None, words: list[str], radius: int, most: int) -> list[dict]:

@@ -73,6 +73,18 @@ def test_budgets_of_groups(spark, table):
         assert [tuple(x) for x in got[i].w] == expected and got[i].t == [t[a:b] for a, b in expected]
 
 
+def test_sections(spark, table):
+    from sparkweir.operators import rules
+
+    texts, df = table
+    texts = texts + ["the a\nb\n" * 500, "\n".join(["the x" + "y" * 90] * 200), " THE end\r\n\nla"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for start, stop, most in ((r"^\s*(the|der|la|ab)\b", r"^\s*$|^[A-Z]{2,}", 6000), ("ab|the", "c|12", 40)):
+        got = {r.id: [tuple(x) for x in r.s] for r in df.select("id", excerpts.sections(F.col("text"), start, stop, most).alias("s")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == [(x["start"], x["end"], x["title"]) for x in rules.sections(t, start, stop, most)], (i, (t or "")[:80])
+
+
 def test_no_python_in_the_plan(table):
     plan = table[1].select(excerpts.budgeted(F.col("text"), [(["ab"], 2)], 5, 5, 4))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
