@@ -28,18 +28,30 @@ def _steps(text: Column, pattern: str) -> Column:
     return F.coalesce(F.zip_with(between, found, lambda b, f: F.struct(F.length(b).alias("gap"), F.length(f).alias("size"))), F.array().cast("array<struct<gap:int,size:int>>"))
 
 
-def _taken(steps: Column, kept: Column, used: Column, length: Column, before: int, after: int, apart: Callable[[Column, Column, Column], Column], most: int, each: int, budget: int) -> Column:
-    """struct(kept, used): kept with up to `each` windows more, `budget` of its group and `most` of all."""
-    start = F.struct(F.lit(0).alias("at"), kept.cast(SPAN).alias("kept"), used.alias("used"), F.lit(0).alias("own"))
+def _round(steps: Column, each: int, budget: int, new: bool) -> Column:
+    """A mark that a word begins, with how many windows it and its group may have, and whether the group is new; then the word's steps."""
+    made = lambda mark, gap, size: F.struct(F.lit(mark).alias("mark"), F.lit(new).alias("new"), F.lit(each).alias("each"), F.lit(budget).alias("budget"), gap.alias("gap"), size.alias("size"))
+    return F.concat(F.array(made(True, F.lit(0), F.lit(0))), F.transform(steps, lambda m: made(False, m["gap"], m["size"])))
+
+
+def _taken(rounds: list[Column], length: Column, before: int, after: int, apart: Callable[[Column, Column, Column], Column], most: int) -> Column:
+    """The windows that are taken over all rounds, one after another."""
+    zero = F.lit(0)
+    start = F.struct(zero.alias("at"), F.array().cast(SPAN).alias("kept"), zero.alias("used"), zero.alias("own"))
 
     def step(s: Column, m: Column) -> Column:
-        a = F.greatest(F.lit(0), s["at"] + m["gap"] - before)
+        a = F.greatest(zero, s["at"] + m["gap"] - before)
         b = F.least(length, s["at"] + m["gap"] + m["size"] + after)
-        add = (F.size(s["kept"]) < most) & (s["own"] < each) & (s["used"] < budget) & apart(s["kept"], a, b)
-        more = F.when(add, F.lit(1)).otherwise(F.lit(0))
-        return F.struct((s["at"] + m["gap"] + m["size"]).alias("at"), F.when(add, F.concat(s["kept"], F.array(F.struct(a.alias("start"), b.alias("end"))))).otherwise(s["kept"]).alias("kept"), (s["used"] + more).alias("used"), (s["own"] + more).alias("own"))
+        add = ~m["mark"] & (F.size(s["kept"]) < most) & (s["own"] < m["each"]) & (s["used"] < m["budget"]) & apart(s["kept"], a, b)
+        more = F.when(add, F.lit(1)).otherwise(zero)
+        return F.struct(
+            F.when(m["mark"], zero).otherwise(s["at"] + m["gap"] + m["size"]).alias("at"),
+            F.when(add, F.concat(s["kept"], F.array(F.struct(a.alias("start"), b.alias("end"))))).otherwise(s["kept"]).alias("kept"),
+            F.when(m["mark"] & m["new"], zero).otherwise(s["used"] + more).alias("used"),
+            F.when(m["mark"], zero).otherwise(s["own"] + more).alias("own"),
+        )
 
-    return F.aggregate(steps, start, step, lambda s: F.struct(s["kept"].alias("kept"), s["used"].alias("used")))
+    return F.aggregate(F.concat(*rounds), start, step, lambda s: s["kept"])
 
 
 #: More than any number of windows.
@@ -50,7 +62,7 @@ def windows(text: Column, pattern: str | list[str], before: int, after: int, mos
     """(start, end) around matches of a pattern, or of literal words, those that would overlap the one before left out. Null and empty texts have none."""
     after_last = lambda kept, a, b: (F.size(kept) == 0) | (a >= F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0)))
     pattern = _any_of(pattern) if isinstance(pattern, list) else pattern
-    return _taken(_steps(text, pattern), F.array(), F.lit(0), F.length(text), before, after, after_last, most, ALL, ALL)["kept"]
+    return _taken([_round(_steps(text, pattern), ALL, ALL, True)], F.length(text), before, after, after_last, most)
 
 
 def budgeted(text: Column, groups: list[tuple[list[str], int]], before: int, after: int, most: int, each: int = 2, share: float = 0.55) -> Column:
@@ -64,16 +76,8 @@ def budgeted(text: Column, groups: list[tuple[list[str], int]], before: int, aft
         return ~F.exists(kept, lambda k: (common(k) > 0) & (common(k) >= share * F.greatest(F.lit(1), F.least(b - a, k["end"] - k["start"]))))
 
     steps = {w: _steps(text, _any_of([w])) for words, _ in groups for w in words}
-    state = F.struct(F.array().cast(SPAN).alias("kept"), F.lit(0).alias("used"))
-    rounds = [(w, each, budget, i == 0) for words, budget in groups for i, w in enumerate(words)] + [(w, ALL, ALL, False) for w in steps]
-
-    def after_round(word: str, own: int, budget: int, new: bool) -> Callable[[Column], Column]:
-        return lambda s: _taken(steps[word], s["kept"], F.lit(0) if new else s["used"], F.length(text), before, after, apart, most, own, budget)
-
-    for one in rounds:
-        # Bound to a name of its own, the state before is worked out once.
-        state = F.transform(F.array(state), after_round(*one))[0]
-    return state["kept"]
+    rounds = [_round(steps[w], each, budget, i == 0) for words, budget in groups for i, w in enumerate(words)] + [_round(some, ALL, ALL, True) for some in steps.values()]
+    return _taken(rounds, F.length(text), before, after, apart, most)
 
 
 def cut(text: Column, spans: Column) -> Column:
