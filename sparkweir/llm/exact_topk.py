@@ -39,6 +39,8 @@ from .common import received, send, stored
 SCALE, K = 256, 5
 #: Vectors in a block, queries that meet a block together, dimensions added up at a time, bytes of queries that the executors hold at a time.
 BLOCK, TOGETHER, STEP, GROUP_BYTES = 4096, 256, 8, 32_000_000
+#: Bytes of a block as doubles, where vectors are so long that fewer of them make a block.
+BLOCK_BYTES = 32_000_000
 #: One block in so many is searched in the first wave.
 FIRST = 8
 #: Share of the places up to which those that stay are a list.
@@ -89,11 +91,12 @@ def _packer(scale: float, size: int):
             asked = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for n in np.unique(lengths).tolist():
                 rows = np.flatnonzero(lengths == n)
-                for at in range(0, len(rows), size):
-                    some = rows[at : at + size]
+                room = max(1, min(size, BLOCK_BYTES // (8 * max(n, 1))))
+                for at in range(0, len(rows), room):
+                    some = rows[at : at + room]
                     held.setdefault(n, []).append((ids[some], asked[some], flat[starts[some][:, None] + np.arange(n)]))
                     count[n] = count.get(n, 0) + len(some)
-                    if count[n] >= size:
+                    if count[n] >= room:
                         yield block(n)
         for n in list(held):
             yield block(n)
