@@ -95,13 +95,56 @@ def h_table_cells(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.cells(line)).cast("long").alias("cells"))
 
 
+def _windows_sql(column: str, pattern: str, before: int, after: int, most: int) -> str:
+    """Windows of a text column as start-end, parted by commas: places from what is between matches, then the first, and each next that begins after the one taken."""
+    b, f = f"regexp_split_to_array({column}, '{pattern}')", f"regexp_extract_all({column}, '{pattern}')"
+    at = "(list_sum(list_transform(b[1:i], lambda y: length(y))) + COALESCE(list_sum(list_transform(f[1:i - 1], lambda y: length(y))), 0))"
+    spans = f"list_transform(range(1, len(f) + 1), lambda i: [{{'a': greatest(0, {at} - {before}), 'z': least(n, {at} + length(f[i]) + {after})}}])"
+    taken = f"list_reduce({spans}, lambda x, y: CASE WHEN len(x) < {most} AND y[1].a >= x[len(x)].z THEN list_concat(x, y) ELSE x END)"
+    return f"(SELECT CASE WHEN len(f) = 0 THEN '' ELSE array_to_string(list_transform({taken}, lambda w: CAST(w.a AS VARCHAR) || '-' || CAST(w.z AS VARCHAR)), ',') END FROM (SELECT {b} AS b, {f} AS f, length({column}) AS n))"
+
+
+@query("H20 H21 H39 H40", f"""SELECT doc_id, {_windows_sql("text", "[0-9]{2,}", 30, 60, 12)} AS numbers, {_windows_sql("text", "(?i)password|token|licen[cs]e", 350, 700, 8)} AS words FROM documents""")
+def h_text_windows(spark, sf_dir):
+    t = F.col("text")
+    shown = lambda w: F.array_join(F.transform(w, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return table(spark, sf_dir, "documents").select("doc_id", shown(excerpts.windows(t, "[0-9]{2,}", 30, 60, 12)).alias("numbers"), shown(excerpts.windows(t, "(?i)password|token|licen[cs]e", 350, 700, 8)).alias("words"))
+
+
+#: Words by group with each group's budget, for excerpts.
+EXCERPTS = [(["password", "token"], 3), (["the", "und", "que"], 3), (["price", "@"], 2)]
+
+
+def _budgeted_sql(column: str, groups, before: int, after: int, most: int, each: int, share: float) -> str:
+    """Excerpts with budgets: every word's matches in rounds, folded with what was taken; a taken window knows its round and its group."""
+    every = [w for words, _ in groups for w in words]
+    rounds = [(w, g, each, budget) for g, (words, budget) in enumerate(groups) for w in words] + [(w, 1000 + i, 1000000, 1000000) for i, w in enumerate(every)]
+    split = ", ".join(f"regexp_split_to_array({column}, '(?i){w}') AS b{i}, regexp_extract_all({column}, '(?i){w}') AS f{i}" for i, w in enumerate(every))
+
+    def made(k: int, w: str, g: int, own: int, budget: int) -> str:
+        b, f = f"b{every.index(w)}", f"f{every.index(w)}"
+        at = f"(list_sum(list_transform({b}[1:i], lambda y: length(y))) + (i - 1) * {len(w)})"
+        return f"list_transform(range(1, len({f}) + 1), lambda i: [{{'a': greatest(0, {at} - {before}), 'z': least(n, {at} + {len(w) + after}), 'g': {g}, 'w': {k}, 'own': {own}, 'budget': {budget}}}])"
+
+    candidates = f"flatten([{', '.join(made(k, *r) for k, r in enumerate(rounds))}])"
+    common = "(least(y[1].z, k.z) - greatest(y[1].a, k.a))"
+    close = f"len(list_filter(x, lambda k: {common} > 0 AND {common} >= {share} * greatest(1, least(y[1].z - y[1].a, k.z - k.a)))) > 0"
+    taken = f"list_reduce({candidates}, lambda x, y: CASE WHEN len(x) < {most} AND len(list_filter(x, lambda k: k.w = y[1].w)) < y[1].own AND len(list_filter(x, lambda k: k.g = y[1].g)) < y[1].budget AND NOT ({close}) THEN list_concat(x, y) ELSE x END)"
+    return f"(SELECT CASE WHEN {' + '.join(f'len(f{i})' for i in range(len(every)))} = 0 THEN '' ELSE array_to_string(list_transform({taken}, lambda w: CAST(w.a AS VARCHAR) || '-' || CAST(w.z AS VARCHAR)), ',') END FROM (SELECT {split}, length({column}) AS n))"
+
+
+@query("H22 C27", f"""SELECT doc_id, {_budgeted_sql("text", EXCERPTS, 80, 160, 10, 2, 0.55)} AS spans FROM documents""")
+def h_budgeted_excerpts(spark, sf_dir):
+    spans = excerpts.budgeted(F.col("text"), EXCERPTS, 80, 160, 10)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(spans, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"))
+
+
 @query("H20-H22 H39 H40")
 def h_excerpts(spark, sf_dir):
     """Windows around words and patterns, and excerpts with a budget for each group of words."""
     d, t = table(spark, sf_dir, "documents"), F.col("text")
-    groups = [(["password", "token"], 3), (["the", "und", "que"], 3), (["price", "@"], 2)]
     near = excerpts.windows(t, r"(?i)\b(?:ship|deliver|within)\w*", 350, 700, 8)
-    return d.select("doc_id", excerpts.windows(t, r"\b\d{2,}\b", 30, 60, 12).alias("numbers"), near.alias("delivery"), excerpts.cut(t, excerpts.budgeted(t, groups, 80, 160, 10)).alias("excerpts"))
+    return d.select("doc_id", excerpts.windows(t, r"\b\d{2,}\b", 30, 60, 12).alias("numbers"), near.alias("delivery"), excerpts.cut(t, excerpts.budgeted(t, EXCERPTS, 80, 160, 10)).alias("excerpts"))
 
 
 @query("H18-H22 H39 H40 C27 K26")
