@@ -41,7 +41,7 @@ PEM = "(?:[A-Z]{2,10} )?PRIVATE KEY(?: BLOCK)?-----"
 #: What candidates look like, by kind. Each begins where a token begins, gives nothing back once it has run on,
 #: and runs on over characters that no other of its beginnings stands in, so that a text takes time in proportion to its length.
 KINDS = {
-    "assignment": rf"""(?<![{NAME}])(?=[{NAME}]*?{KEYWORD})[{NAME}]++["']?\s{{0,3}}[=:]\s{{0,3}}(?:"[^"\r\n]{{8,}}+(?<!\\)"|'[^'\r\n]{{8,}}+(?<!\\)'|["']?(?:(?!{NEXT})\S){{8,}}+)""",
+    "assignment": rf"""(?<![{NAME}])(?=[{NAME}]++["']?\s{{0,3}}[=:])(?=[{NAME}]*?{KEYWORD})[{NAME}]++["']?\s{{0,3}}[=:]\s{{0,3}}(?:"[^"\r\n]{{8,}}+(?<!\\)"|'[^'\r\n]{{8,}}+(?<!\\)'|["']?(?:(?!{NEXT})\S){{8,}}+)""",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "vendor_token": r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|glpat-[A-Za-z0-9_\-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_\-]{35,}+|sk_live_[A-Za-z0-9]{24,}+|sk-[A-Za-z0-9_\-]{20,}+)",
     "web_token": r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+",
