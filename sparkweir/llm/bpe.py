@@ -18,13 +18,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from functools import cache
 from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
-import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,15 +88,9 @@ class Splitter:
     MARK, LETTER, DIGIT, SPACE = range(4)
     ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-    def __init__(self):
-        # Unicode's versions differ in what is a letter, so that the classes are asked of the library whose ids are wanted:
-        # with the bytes as its only tokens it gives back the characters that match.
-        self.kind = np.zeros(0x110000, np.uint8)
-        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-        for kind, one in ((self.LETTER, r"\p{L}"), (self.DIGIT, r"\p{N}"), (self.SPACE, r"\s")):
-            matching = tiktoken.Encoding("characters", pat_str=one, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-            found = bytes(matching.encode_ordinary(every)).decode()
-            self.kind[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
+    def __init__(self, runs: bytes | None = None):
+        lengths, kinds = np.frombuffer(runs or character_runs(), "<u4").reshape(2, -1)
+        self.kind = np.repeat(kinds.astype(np.uint8), lengths)
 
     def __call__(self, text: str) -> list[str]:
         n = len(text)
@@ -126,6 +119,26 @@ class Splitter:
         return [text[i:j] for i, j in zip(at, at[1:])]
 
 
+@cache
+def character_runs() -> bytes:
+    """The classes of all code points, as lengths of runs and their classes.
+
+    Unicode's versions differ in what is a letter, so that the classes are
+    asked of the library whose ids are wanted: with the bytes as its only
+    tokens it gives back the characters that match. Asked once, by the driver.
+    """
+    import tiktoken
+
+    kind = np.zeros(0x110000, np.uint8)
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for value, one in ((Splitter.LETTER, r"\p{L}"), (Splitter.DIGIT, r"\p{N}"), (Splitter.SPACE, r"\s")):
+        matching = tiktoken.Encoding("characters", pat_str=one, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        found = bytes(matching.encode_ordinary(every)).decode()
+        kind[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = value
+    first = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
+    return np.array([np.diff(np.append(first, len(kind))), kind[first]], "<u4").tobytes()
+
+
 def ranks_of(content: bytes) -> dict[bytes, int]:
     """The ranks by token of a tiktoken file's content."""
     rows = (line.split() for line in content.splitlines() if line.strip())
@@ -148,10 +161,15 @@ class Tokens:
 class Vocabulary(Tokens):
     """The encoder."""
 
-    def __init__(self, content: bytes, pattern: str):
+    def __init__(self, content: bytes, pattern: str, runs: bytes | None = None):
         super().__init__(content)
         self.ranks = ranks_of(content)
-        self.split = Splitter() if pattern == Splitter.PATTERN else regex.compile(pattern).findall
+        if pattern == Splitter.PATTERN:
+            self.split = Splitter(runs)
+        else:
+            import regex
+
+            self.split = regex.compile(pattern).findall
         self.queue = RankQueue(len(self.tokens))
         self.known: dict[str, bytes] = {}
         self.byte_id = np.array([self.ranks.get(bytes([b]), 0) for b in range(256)], np.int64)
@@ -306,9 +324,11 @@ class Vocabulary(Tokens):
 
 
 def _encoder(content, pattern: str):
+    runs = character_runs() if pattern == Splitter.PATTERN else None
+
     def run(batches):
         raw = content.value
-        words = once_per_process("bpe", f"{hashlib.sha256(raw).hexdigest()} {pattern}", lambda: Vocabulary(raw, pattern))
+        words = once_per_process("bpe", f"{hashlib.sha256(raw).hexdigest()} {pattern}", lambda: Vocabulary(raw, pattern, runs))
         for batch in slices(batches, 1, TOGETHER):
             ids = words.encode_many([(text or b"").decode("utf-8", "replace") for text in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
