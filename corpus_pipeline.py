@@ -54,8 +54,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip): token ids of each row, and whether they decode to its text. A null text has none."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(docs.select("text", F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")).alias("_row")), path, public_tokenizers.PATTERN, "_row")
-    decoded = bpe.decode(encoded, path, "_row")
+    rows = docs.select("text", F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")).alias("_row"))
+    decoded = bpe.round_trip(rows, path, public_tokenizers.PATTERN, "_row")
     return decoded.select("_row.doc_id", "n_tokens", "ids", (bpe.digest("decoded") == F.col("_row.sha")).alias("round_trip"))
 
 

@@ -34,7 +34,7 @@ REMEMBERED = 200_000
 #: A pre-token of more bytes goes through a queue of its own and is not remembered.
 LONG = 128
 #: Bytes of text that are encoded together.
-TOGETHER = 3_000_000
+TOGETHER = 1_500_000
 
 
 class RankQueue:
@@ -323,7 +323,7 @@ class Vocabulary(Tokens):
         return self.encode_many([text])[0]
 
 
-def _encoder(content, pattern: str):
+def _encoder(content, pattern: str, decoded: bool):
     runs = character_runs() if pattern == Splitter.PATTERN else None
 
     def run(batches):
@@ -331,7 +331,10 @@ def _encoder(content, pattern: str):
         words = once_per_process("bpe", f"{hashlib.sha256(raw).hexdigest()} {pattern}", lambda: Vocabulary(raw, pattern, runs))
         for batch in slices(batches, 1, TOGETHER):
             ids = words.encode_many([(text or b"").decode("utf-8", "replace") for text in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
+            columns = {"id": batch.column(0), "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                columns["decoded"] = pa.array(map(words.decode, ids), pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -353,12 +356,21 @@ def _shared(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(file.read())
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, ids): ids as little-endian unsigned 32-bit integers in one binary."""
+def _encoded(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     content = _shared(df, path)
     read = small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    out = read.mapInArrow(_encoder(content, pattern), f"id {dict(read.dtypes)['id']}, ids binary")
-    return out.select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    out = read.mapInArrow(_encoder(content, pattern, decoded), f"id {dict(read.dtypes)['id']}, ids binary" + ", decoded binary" * decoded)
+    return out.select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", *["decoded"] * decoded)
+
+
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_tokens, ids): ids as little-endian unsigned 32-bit integers in one binary."""
+    return _encoded(df, path, pattern, id_col, text_col, False)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_tokens, ids, decoded): what decode(encode(df)) gives, by one worker for each task instead of two."""
+    return _encoded(df, path, pattern, id_col, text_col, True)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:

@@ -74,8 +74,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
-    decoded = bpe.decode(encoded, path)
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
     return decoded.select("doc_id", "n_tokens", bpe.digest("ids").alias("ids_sha256"), bpe.digest("decoded").alias("decoded_sha256"))
 
 

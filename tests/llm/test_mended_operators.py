@@ -107,3 +107,14 @@ def test_every_code_point_has_the_ids_of_the_library():
         for form in ("a{}1 {}", "'{}s", "{}.\n{} ") if at < 200_000 else ("a{}1 {}",):
             text = "".join(form.replace("{}", c) for c in points[at : at + 40_000])
             assert own.encode(text) == b"".join(x.to_bytes(4, "little") for x in theirs.encode_ordinary(text)), (at, form)
+
+
+def test_round_trip_is_encoding_and_decoding(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    df = spark.createDataFrame([(1, "a b  c"), (2, None), (3, ""), (None, "é\n" * 5000), (1, "again")], "doc_id long, text string")
+    apart = bpe.decode(bpe.encode(df, path, public_tokenizers.PATTERN), path)
+    together = bpe.round_trip(df, path, public_tokenizers.PATTERN)
+    assert together.dtypes == apart.dtypes and sorted(map(str, together.collect())) == sorted(map(str, apart.collect()))
+    assert sorted(bytes(r.decoded) for r in together.collect()) == sorted((t or "").encode() for t in ("a b  c", None, "", "é\n" * 5000, "again"))
