@@ -206,14 +206,15 @@ def _scanner(group: list[Sent]):
 
 
 def _builder(window: int):
-    """Automata of blocks of items; an item longer than a block has one of its own."""
+    """Automata of blocks of items, which come one after another; a block that has grown too large is parted, and an item longer than a block has one of its own."""
 
     def run(batches):
-        block, size = [], 0
+        block, size, at = [], 0, None
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for name, text, number in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 words = words_of(text.as_py())
-                if block and size + len(words) > BLOCK_WORDS:
+                at, before = number, at
+                if block and (number != before or size + len(words) > BLOCK_WORDS):
                     yield pa.RecordBatch.from_arrays([pa.array([Automaton(block, window).packed()], pa.binary())], ["automaton"])
                     block, size = [], 0
                 if words:
@@ -233,7 +234,9 @@ def _automata(spark: SparkSession, benchmark: DataFrame, window: int, item_col:
     """Automata in groups of AT_ONCE, each built in a task from items of BLOCK_WORDS or so; the driver only passes them on, one at a time."""
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("text"))
     total = items.agg(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))).alias("n")).first().n or 0
-    dealt = items.repartition(max(1, -(-total // BLOCK_WORDS)), F.xxhash64("text", "item"))
+    # Blocks are numbered, so that there are no more of them than the words need, however many partitions they are dealt to.
+    number = F.pmod(F.xxhash64("text", "item"), F.lit(max(1, -(-total // BLOCK_WORDS))))
+    dealt = items.withColumn("block", number).repartition("block").sortWithinPartitions("block")
     sent = []
     for row in stored(dealt.mapInArrow(_builder(window), "automaton binary")).toLocalIterator():
         raw = bytes(row.automaton)
