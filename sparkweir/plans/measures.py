@@ -42,10 +42,12 @@ def d_having_with_group_total(spark, sf_dir):
 )
 def d_scalars(spark, sf_dir):
     e = table(spark, sf_dir, "events")
+    # In hundredths: 1.005 is less than its digits say, and a decimal of two places made from the digits is 1.01.
+    hundredths = F.sum((F.col("value") * 100).cast("decimal(18,0)"))
     return e.agg(
-        F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_ts"),
+        F.max("ts").cast("string").alias("last_ts"),
         F.count("*").alias("n"),
-        F.coalesce(F.sum(F.col("value").cast("decimal(18,2)")).cast("double"), F.lit(0.0)).alias("total"),
+        F.coalesce((hundredths * F.lit("0.01").cast("decimal(2,2)")).cast("double"), F.lit(0.0)).alias("total"),
         F.count_if((F.col("event_type") == "error") & (F.col("value") > 100)).alias("stuck"),
         F.sum(F.length("props")).alias("chars"),
     )
