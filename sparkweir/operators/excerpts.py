@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,63 +22,69 @@ def _any_of(words: list[str]) -> str:
     return "(?iu)" + "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in words)
 
 
-def _steps(text: Column, pattern: str) -> Column:
-    """(gap, size) of each match: the characters before it since the match before, and its own."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    return F.coalesce(F.zip_with(between, found, lambda b, f: F.struct(F.length(b).alias("gap"), F.length(f).alias("size"))), F.array().cast("array<struct<gap:int,size:int>>"))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _round(steps: Column, each: int, budget: int, new: bool) -> Column:
-    """A mark that a word begins, with how many windows it and its group may have, and whether the group is new; then the word's steps."""
-    made = lambda mark, gap, size: F.struct(F.lit(mark).alias("mark"), F.lit(new).alias("new"), F.lit(each).alias("each"), F.lit(budget).alias("budget"), gap.alias("gap"), size.alias("size"))
-    return F.concat(F.array(made(True, F.lit(0), F.lit(0))), F.transform(steps, lambda m: made(False, m["gap"], m["size"])))
+def _steps(text: Column, pattern: str) -> Column:
+    """(gap, size) of each match: the characters before it since the match before, and its own; then what is after the last, with no size."""
+    step = lambda b, f: F.struct(F.length(b).alias("gap"), F.length(f).alias("size"))
+    return F.coalesce(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), step), F.array().cast("array<struct<gap:int,size:int>>"))
 
 
-def _taken(rounds: list[Column], length: Column, before: int, after: int, apart: Callable[[Column, Column, Column], Column], most: int) -> Column:
-    """The windows that are taken over all rounds, one after another."""
-    zero = F.lit(0)
-    start = F.struct(zero.alias("at"), F.array().cast(SPAN).alias("kept"), zero.alias("used"), zero.alias("own"))
+def _gaps(text: Column, word: str) -> Column:
+    """The characters before each match of a word since the match before; then those after the last."""
+    return F.coalesce(F.transform(F.split(text, _any_of([word]), -1), lambda b: F.length(b)), F.array().cast("array<int>"))
 
-    def step(s: Column, m: Column) -> Column:
-        a = F.greatest(zero, s["at"] + m["gap"] - before)
-        b = F.least(length, s["at"] + m["gap"] + m["size"] + after)
-        add = ~m["mark"] & (F.size(s["kept"]) < most) & (s["own"] < m["each"]) & (s["used"] < m["budget"]) & apart(s["kept"], a, b)
-        more = F.when(add, F.lit(1)).otherwise(zero)
-        return F.struct(
-            F.when(m["mark"], zero).otherwise(s["at"] + m["gap"] + m["size"]).alias("at"),
-            F.when(add, F.concat(s["kept"], F.array(F.struct(a.alias("start"), b.alias("end"))))).otherwise(s["kept"]).alias("kept"),
-            F.when(m["mark"] & m["new"], zero).otherwise(s["used"] + more).alias("used"),
-            F.when(m["mark"], zero).otherwise(s["own"] + more).alias("own"),
-        )
 
-    return F.aggregate(F.concat(*rounds), start, step, lambda s: s["kept"])
+def _taken(steps: Column, of: Callable[[Column], tuple[Column, Column]], kept: Column, limit: Column, length: Column, before: int, after: int, apart: Callable[[Column, Column, Column], Column]) -> Column:
+    """kept, with the windows of steps that are taken one after another while there are fewer than limit. of: a step's gap and size."""
 
+    def step(s: Column, x: Column) -> Column:
+        gap, size = of(x)
+        at, end = s["at"] + gap, s["at"] + gap + size
+        window = F.struct(F.greatest(F.lit(0), at - before).alias("start"), F.least(length, end + after).alias("end"))
+        more = _once(window, lambda w: F.when(apart(s["kept"], w["start"], w["end"]), F.concat(s["kept"], F.array(w))).otherwise(s["kept"]))
+        # What is after the last match ends where the text does, so that no match fits there.
+        return F.when(F.size(s["kept"]) >= s["limit"], s).otherwise(F.struct(end.alias("at"), F.when(end <= length, more).otherwise(s["kept"]).alias("kept"), s["limit"].alias("limit")))
 
-#: More than any number of windows.
-ALL = (1 << 31) - 1
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), kept.alias("kept"), limit.alias("limit")), step, lambda s: s["kept"])
 
 
 def windows(text: Column, pattern: str | list[str], before: int, after: int, most: int) -> Column:
     """(start, end) around matches of a pattern, or of literal words, those that would overlap the one before left out. Null and empty texts have none."""
     after_last = lambda kept, a, b: (F.size(kept) == 0) | (a >= F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0)))
     pattern = _any_of(pattern) if isinstance(pattern, list) else pattern
-    return _taken([_round(_steps(text, pattern), ALL, ALL, True)], F.length(text), before, after, after_last, most)
+    return _once(F.length(text), lambda n: _taken(_steps(text, pattern), lambda x: (x["gap"], x["size"]), F.array().cast(SPAN), F.lit(most), n, before, after, after_last))
 
 
 def budgeted(text: Column, groups: list[tuple[list[str], int]], before: int, after: int, most: int, each: int = 2, share: float = 0.55) -> Column:
     """(start, end) around words of groups: up to `each` for a word and so many for a group, in the order of groups and words; then, while fewer than `most` are there, as many as there are for any word.
 
-    A window that has `share` of the shorter one in common with one taken before is left out.
+    A window that has `share` of the shorter one in common with one taken before is left out; share is the fraction that its digits say.
     """
+    part, whole = (F.lit(n).cast("long") for n in Fraction(str(share)).as_integer_ratio())
 
     def apart(kept: Column, a: Column, b: Column) -> Column:
         common = lambda k: F.least(b, k["end"]) - F.greatest(a, k["start"])
-        return ~F.exists(kept, lambda k: (common(k) > 0) & (common(k) >= share * F.greatest(F.lit(1), F.least(b - a, k["end"] - k["start"]))))
+        return ~F.exists(kept, lambda k: (common(k) > 0) & (whole * common(k) >= part * F.greatest(F.lit(1), F.least(b - a, k["end"] - k["start"]))))
+
+    words = list(dict.fromkeys(w for some, _ in groups for w in some))
+    made = lambda w, own, budget, new: F.struct(F.lit(words.index(w)).alias("word"), F.lit(len(w)).alias("size"), F.lit(min(own, most)).alias("each"), F.lit(min(budget, most)).alias("budget"), F.lit(new).alias("new"))
+    rounds = [made(w, each, budget, i == 0) for some, budget in groups for i, w in enumerate(some)] + [made(w, most, most, True) for w in words]
+
+    def fold(x: Column) -> Column:
+        def one(s: Column, r: Column) -> Column:
+            base = F.when(r["new"], F.size(s["kept"])).otherwise(s["base"])
+            limit = F.least(F.lit(most), F.size(s["kept"]) + r["each"], base + r["budget"])
+            more = _taken(F.get(x["gaps"], r["word"]), lambda gap: (gap, r["size"]), s["kept"], limit, x["n"], before, after, apart)
+            return F.struct(F.when(F.size(s["kept"]) >= limit, s["kept"]).otherwise(more).alias("kept"), base.alias("base"))
+
+        return F.aggregate(F.array(*rounds), F.struct(F.array().cast(SPAN).alias("kept"), F.lit(0).alias("base")), one, lambda s: s["kept"])
 
-    steps = {w: _steps(text, _any_of([w])) for words, _ in groups for w in words}
-    rounds = [_round(steps[w], each, budget, i == 0) for words, budget in groups for i, w in enumerate(words)] + [_round(some, ALL, ALL, True) for some in steps.values()]
-    return _taken(rounds, F.length(text), before, after, apart, most)
+    # Each word is looked for once, and its places are gone through in both of its rounds.
+    return _once(F.struct(F.array(*[_gaps(text, w) for w in words]).alias("gaps"), F.length(text).alias("n")), fold)
 
 
 def cut(text: Column, spans: Column) -> Column:
