@@ -239,9 +239,21 @@ def export_status(hidden: Column, has_report: Column, expired: Column) -> Column
     return first_match([("expired", expired), ("hidden", hidden.isNotNull()), ("ready", has_report)], "waiting")
 
 
+#: Required rows in a part, for readiness().
+AT_A_TIME = 500_000
+
+
 def readiness(required: DataFrame, processed: DataFrame, key: str, document: str) -> DataFrame:
-    """Per key: n_required, n_processed, n_missing, n_without_text, and the reason by precedence. processed: (key, document, has_text)."""
-    joined = required.select(key, document).distinct().join(processed.groupBy(key, document).agg(F.max("has_text").alias("has_text")), [key, document], "left")
+    """Per key: n_required, n_processed, n_missing, n_without_text, and the reason by precedence. processed: (key, document, has_text).
+
+    Both are dealt once, by key, in parts of AT_A_TIME rows or so; a task groups
+    a part without a join. What is processed under a null key or document is of no use.
+    """
+    n = max(int(required.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-required.count() // AT_A_TIME))
+    needed = required.select(key, document, F.lit(True).alias("_needed"), F.lit(None).cast("boolean").alias("has_text"))
+    done = processed.where(F.col(key).isNotNull() & F.col(document).isNotNull()).select(key, document, F.lit(False).alias("_needed"), "has_text")
+    dealt = needed.unionByName(done).repartition(n, key)
+    joined = dealt.groupBy(key, document).agg(F.max("_needed").alias("_needed"), F.max("has_text").alias("has_text")).where("_needed")
     counts = joined.groupBy(key).agg(
         F.count("*").alias("n_required"),
         F.count_if("has_text").alias("n_processed"),
