@@ -134,10 +134,11 @@ def canonical_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(canonical, na_action="ignore")
 
 
-def _depth_and_nodes(text):
+def _depth_and_nodes(text, value=None):
+    """value: what the text holds, if it has been read."""
     if text is None:
         return None, None
-    todo, deepest, nodes = [(json.loads(text), 1)], 0, 0
+    todo, deepest, nodes = [(json.loads(text) if value is None else value, 1)], 0, 0
     while todo:
         x, depth = todo.pop()
         nodes, deepest = nodes + 1, max(deepest, depth)
@@ -152,6 +153,27 @@ def structure(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(texts.map(_depth_and_nodes).tolist(), columns=["depth", "nodes"])
 
 
+def searched(most: int = 30000):
+    """A function of a JSON column: has_secret_key(), corpus(), canonical_json() and structure() by one worker, which reads a text twice.
+
+    Each function of its own has a worker beside those of the others, with as much memory.
+    """
+
+    @pandas_function("struct<secret:boolean,corpus:string,canonical:string,depth:int,nodes:int>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def one(text):
+            if text is None:
+                return None, "", None, None, None
+            value, out = json.loads(text), []
+            _leaves(value, out, most)
+            return _has_secret_key(value), " ".join(out)[:most], canonical(text), *_depth_and_nodes(text, value)
+
+        for part in texts:
+            yield pd.DataFrame([one(x) for x in part], columns=["secret", "corpus", "canonical", "depth", "nodes"], dtype=object)
+
+    return run
+
+
 def digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 

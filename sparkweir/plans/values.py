@@ -296,7 +296,7 @@ def j_paths_and_objects(spark, sf_dir):
 def j_recursive_search(spark, sf_dir):
     deep = F.concat(F.lit('{"b": [1, {"'), F.when(F.col("event_id") % 2 == 0, F.lit("api_key")).otherwise(F.lit("name")), F.lit('": '), "props", F.lit('}], "a": 1.50}'))
     e = table(spark, sf_dir, "events").select("event_id", deep.alias("deep"))
-    return e.select("event_id", jsonx.secret_key_likely(F.col("deep")).alias("likely"), jsonx.has_secret_key("deep").alias("secret"), jsonx.corpus(30000)("deep").alias("corpus"), jsonx.canonical_json("deep").alias("canonical"), jsonx.structure("deep").alias("structure")).select("*", "structure.depth", "structure.nodes").drop("structure")
+    return e.select("event_id", jsonx.secret_key_likely(F.col("deep")).alias("likely"), jsonx.searched(30000)("deep").alias("found")).select("event_id", "likely", "found.*")
 
 
 @query(
