@@ -178,14 +178,30 @@ class Model:
         self.decay, self.scale = low, max(1e-9, float(scale(low)))
 
     def calibrate_score(self, surprise: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
-        """Logistic curve of the surprise by Newton's method, with a weak pull to 0."""
+        """Logistic curve of the surprise by Newton's method, with a weak pull to 0.
+
+        A step is halved until it lowers the loss, which is convex, so that the
+        method ends at the curve even where the labels are all but parted.
+        """
         x = np.column_stack([np.ones(len(surprise)), np.log1p(surprise)])
         w = np.zeros(2)
-        for _ in range(60):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+        def loss(w):
+            z = x @ w
+            return (weight * (np.logaddexp(0, z) - label * z)).sum() + 0.005 * w @ w
+
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
             gradient = x.T @ (weight * (p - label)) + 0.01 * w
             hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2)
-            w -= np.clip(np.linalg.solve(hessian, gradient), -2, 2)
+            step, part = np.linalg.solve(hessian, gradient), 1.0
+            while part > 1e-9 and loss(w - part * step) > loss(w) - 1e-4 * part * gradient @ step:
+                part /= 2
+            if part <= 1e-9:
+                break
+            w -= part * step
+            if np.abs(part * step).max() < 1e-9:
+                break
         self.offset, self.slope = float(w[0]), float(w[1])
 
 
