@@ -19,9 +19,11 @@ def within(outer: DataFrame, inner: DataFrame, group: str = "g", text: str = "t"
     the beginning or the tail of addresses, make no pairs. An inner text meets
     as many outer ones as have that stretch, and is compared with them. Null
     groups and texts match nothing; an empty text is within every text. For
-    texts such as addresses and names, as each gives a row for each stretch.
+    texts such as addresses and names, as each gives a row for each stretch; for
+    these rows joins sort and merge, as Spark would take them for as few as the
+    texts, and send them through the driver.
     """
-    known = lambda df: df.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(F.col(group).alias("g"), F.col(text).alias("t")).distinct().withColumn("k", F.md5(F.to_json(F.struct("g", "t")).cast("binary")))
+    known = lambda df: df.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(F.col(group).alias("g"), F.col(text).alias("t")).distinct().withColumn("k", F.unhex(F.md5(F.to_json(F.struct("g", "t")).cast("binary"))))
     outer, inner = known(outer), known(inner)
     size = F.least(F.length("t"), F.lit(gram))
     # As many numbers as a stretch has characters, at most.
@@ -35,9 +37,9 @@ def within(outer: DataFrame, inner: DataFrame, group: str = "g", text: str = "t"
     held = outer.select("k", F.explode(F.array_distinct(F.flatten(F.transform(lengths, stretches)))).alias("h"))
     count = held.groupBy("h").agg(F.count("*").alias("n"))
     own = inner.select("k", F.explode(F.array_distinct(stretches(size))).alias("h"))
-    rarest = own.join(count, "h").groupBy("k").agg(F.min(F.struct("n", "h")).alias("least")).select(F.col("k").alias("inner_k"), F.col("least.h").alias("h"))
-    met = held.join(rarest, "h").select("k", "inner_k")
-    pairs = met.join(outer.select("k", "g", F.col("t").alias("outer")), "k").join(inner.select(F.col("k").alias("inner_k"), F.col("g").alias("inner_g"), F.col("t").alias("inner")), "inner_k")
+    rarest = own.join(count.hint("merge"), "h").groupBy("k").agg(F.min(F.struct("n", "h")).alias("least")).select(F.col("k").alias("inner_k"), F.col("least.h").alias("h"))
+    met = held.join(rarest.hint("merge"), "h").select("k", "inner_k")
+    pairs = met.join(outer.select("k", "g", F.col("t").alias("outer")).hint("merge"), "k").join(inner.select(F.col("k").alias("inner_k"), F.col("g").alias("inner_g"), F.col("t").alias("inner")).hint("merge"), "inner_k")
     return pairs.where((F.col("g") == F.col("inner_g")) & F.contains("outer", "inner")).select(F.col("g").alias(group), "outer", "inner")
 
 

@@ -15,6 +15,9 @@ matched.
 
 Null texts count as empty; empty ones are near each other only. Null groups are
 groups. Texts that agree are matched once, whatever their number.
+
+Joins sort and merge both sides: Spark takes a table of stretches for as small
+as the texts' file, and would send it whole through the driver.
 """
 
 from __future__ import annotations
@@ -66,6 +69,11 @@ def alike(a: str | None, b: str | None, contained: int = CONTAINED, ratio: float
     return x == y or len(x) >= contained and x in y or bool(x) and 2 * len(x) >= ratio * (len(x) + len(y)) and 2 * matching(x, y) >= ratio * (len(x) + len(y))
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """df, to be joined without being sent to the driver."""
+    return df.hint("merge")
+
+
 def _grams(texts: DataFrame, q: int) -> DataFrame:
     """(k, g, n, s): a row for each stretch of q characters of each text, those like each other numbered, so that sets of them count repeats."""
     places = F.sequence(F.lit(1), F.greatest(F.length("t") - q + 1, F.lit(1)))
@@ -82,16 +90,15 @@ def _needed(total: Column, q: int, ratio: float) -> Column:
 def _candidates(texts: DataFrame, q: int, ratio: float) -> DataFrame:
     """(a, b): texts that share enough stretches. texts: (k, g, t, n)."""
     each = _grams(texts, q)
-    grams = each.groupBy("k").agg(F.collect_list("s").alias("grams"))
     count = each.groupBy(F.col("g").alias("cg"), F.col("s").alias("cs")).agg(F.count("*").alias("held"))
     shortest = F.col("n") * (1 + ratio / (2 - ratio))  # characters of both, if the other is as short as it may be
     keep = F.greatest(F.lit(1), F.col("size") - F.greatest(F.lit(1), _needed(shortest, q, ratio)) + 1).cast("int")
-    ordered = each.join(count, F.col("g").eqNullSafe(F.col("cg")) & (F.col("s") == F.col("cs"))).groupBy("k", "g", "n").agg(F.array_sort(F.collect_list(F.struct("held", "s"))).alias("o")).withColumn("size", F.size("o"))
+    ordered = each.join(_merged(count), F.col("g").eqNullSafe(F.col("cg")) & (F.col("s") == F.col("cs"))).groupBy("k", "g", "n").agg(F.array_sort(F.collect_list(F.struct("held", "s"))).alias("o")).withColumn("size", F.size("o"))
     signed = ordered.select("k", "g", "n", F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["s"])).alias("s"))
     a, b = (signed.select(F.col("g").alias(f"{x}g"), "s", F.col("k").alias(x), F.col("n").alias(f"{x}n")) for x in "ab")
     both = F.col("an") + F.col("bn")
-    met = a.join(b, "s").where(F.col("ag").eqNullSafe(F.col("bg")) & (F.struct("an", "a") < F.struct("bn", "b")) & (2 * F.col("an") >= ratio * both - 1e-6)).select("a", "b", both.alias("both")).distinct()
-    held = lambda x: grams.select(F.col("k").alias(x), F.col("grams").alias(f"{x}_grams"))
+    met = a.join(_merged(b), "s").where(F.col("ag").eqNullSafe(F.col("bg")) & (F.struct("an", "a") < F.struct("bn", "b")) & (2 * F.col("an") >= ratio * both - 1e-6)).select("a", "b", both.alias("both")).distinct()
+    held = lambda x: _merged(ordered.select(F.col("k").alias(x), F.transform("o", lambda z: z["s"]).alias(f"{x}_grams")))
     shared = F.size(F.array_intersect("a_grams", "b_grams"))
     return met.join(held("a"), "a").join(held("b"), "b").where(shared >= _needed(F.col("both"), q, ratio)).select("a", "b")
 
@@ -103,18 +110,18 @@ def _matched(a: pa.Array, b: pa.Array, ratio: pa.Array) -> pa.Array:
 
 def near_texts(df: DataFrame, group: str, text: str, contained: int = CONTAINED, ratio: float = RATIO) -> DataFrame:
     """(g, x, y): near pairs of different plain texts of a group, both ways."""
-    texts = df.select(F.col(group).alias("g"), plain(F.col(text)).alias("t")).distinct().where("t <> ''").withColumn("k", F.md5(F.to_json(F.struct("g", "t")).cast("binary"))).withColumn("n", F.length("t"))
+    texts = df.select(F.col(group).alias("g"), plain(F.col(text)).alias("t")).distinct().where("t <> ''").withColumn("k", F.unhex(F.md5(F.to_json(F.struct("g", "t")).cast("binary")))).withColumn("n", F.length("t"))
     met = _candidates(texts.where(F.col("n") >= LEAST), 2, ratio).unionByName(_candidates(texts.where(F.col("n") <= SHORT), 1, ratio)).distinct()
-    named = lambda x: texts.select(F.col("k").alias(x), F.col("g").alias(f"{x}g"), F.col("t").alias(f"{x}t"))
+    named = lambda x: _merged(texts.select(F.col("k").alias(x), F.col("g").alias(f"{x}g"), F.col("t").alias(f"{x}t")))
     pairs = met.join(named("a"), "a").join(named("b"), "b")
     first = F.struct(F.length("at"), "at") < F.struct(F.length("bt"), "bt")
     pairs = pairs.where(_matched(F.when(first, F.col("at")).otherwise(F.col("bt")), F.when(first, F.col("bt")).otherwise(F.col("at")), F.lit(float(ratio))))
     by_ratio = pairs.select(F.col("ag").alias("g"), F.col("at").alias("x"), F.col("bt").alias("y"))
     # A null group is looked up under a name of its own.
     keyed = texts.withColumn("h", F.coalesce(F.concat(F.lit("g"), F.col("g").cast("string")), F.lit("")))
-    held = within(keyed, keyed.where(F.col("n") >= contained), "h", "t").where("outer <> inner").join(keyed.select("h", F.col("t").alias("inner"), "g"), ["h", "inner"]).select("g", F.col("inner").alias("x"), F.col("outer").alias("y"))
-    one = by_ratio.unionByName(held)
-    return one.unionByName(one.select("g", F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    held = within(keyed, keyed.where(F.col("n") >= contained), "h", "t").where("outer <> inner").join(_merged(keyed.select("h", F.col("t").alias("inner"), "g")), ["h", "inner"]).select("g", F.col("inner").alias("x"), F.col("outer").alias("y"))
+    ways = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    return by_ratio.unionByName(held).select("g", F.inline(ways)).distinct()
 
 
 def without_near(df: DataFrame, group: str, place: str, text: str, contained: int = CONTAINED, ratio: float = RATIO) -> DataFrame:
@@ -124,9 +131,9 @@ def without_near(df: DataFrame, group: str, place: str, text: str, contained: in
     # Of rows that agree only the first can be kept, so that it stands for all of them.
     first = rows.groupBy("g", "t").agg(F.min("p").alias("p"))
     x, y = (first.select(F.col("g").alias(f"{c}g"), F.col("t").alias(f"{c}t"), F.col("p").alias(f"{c}p")) for c in "xy")
-    met = links.join(x, F.col("g").eqNullSafe(F.col("xg")) & (F.col("x") == F.col("xt"))).join(y, F.col("g").eqNullSafe(F.col("yg")) & (F.col("y") == F.col("yt")))
+    met = links.join(_merged(x), F.col("g").eqNullSafe(F.col("xg")) & (F.col("x") == F.col("xt"))).join(_merged(y), F.col("g").eqNullSafe(F.col("yg")) & (F.col("y") == F.col("yt")))
     before = met.groupBy("yg", "yt").agg(F.array_sort(F.collect_set("xp")).alias("others"))
-    joined = rows.join(first.select(F.col("g").alias("fg"), F.col("t").alias("ft"), F.col("p").alias("fp")), F.col("g").eqNullSafe(F.col("fg")) & (F.col("t") == F.col("ft"))).join(before, F.col("g").eqNullSafe(F.col("yg")) & (F.col("t") == F.col("yt")), "left")
+    joined = rows.join(_merged(first.select(F.col("g").alias("fg"), F.col("t").alias("ft"), F.col("p").alias("fp"))), F.col("g").eqNullSafe(F.col("fg")) & (F.col("t") == F.col("ft"))).join(_merged(before), F.col("g").eqNullSafe(F.col("yg")) & (F.col("t") == F.col("yt")), "left")
     same = F.when(F.col("fp") < F.col("p"), F.array("fp"))
     others = F.filter(F.coalesce("others", F.array().cast(before.schema["others"].dataType)), lambda o: o < F.col("p"))
     ready = joined.select("g", "p", F.array_sort(F.concat(F.coalesce(same, F.array().cast(before.schema["others"].dataType)), others)).alias("near"))
