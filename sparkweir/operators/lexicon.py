@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from ..functions.text import normal
 
 WORD = r"[\p{L}\p{N}]+"
+#: A lexicon of so many bytes, as it is held, is sent to the executors.
+SENT = 64_000_000
 
 
 def words(text: Column) -> Column:
@@ -59,7 +61,11 @@ def hits(df: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
     """(key, group, phrase, open, n, first): how often each phrase stands in a text, and the place of the first, in words from 0."""
     ready = prepared(lexicon)
     # Shapes of phrases: words, and letters of an open end. There are few, whatever the number of phrases.
-    shapes = [(r.size, r.open) for r in ready.select("size", "open").distinct().orderBy("size", "open").collect()]
+    found = ready.groupBy("size", "open").agg(F.count("*").alias("n"), F.sum(F.length("phrase") + F.length(F.coalesce("group", F.lit("")))).alias("chars")).orderBy("size", "open").collect()
+    shapes = [(r.size, r.open) for r in found]
+    # Left to itself Spark learns how few the phrases are when it has shuffled the texts' runs.
+    if sum(r.chars + 100 * r.n for r in found) <= SENT:
+        ready = F.broadcast(ready)
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), words(F.col(text)).alias("w"))
     runs = [_runs(size, end) for size, end in shapes]
     if not runs:
