@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of the stretches that texts are looked up by.
 GRAM = 12
+#: Bits that tell which stretches some inner text has, in a power of two: 16 MB, half of them for stretches of GRAM characters, half for shorter ones.
+BITS = 1 << 27
+
+
+def _marks(own: DataFrame) -> tuple[list[int], np.ndarray]:
+    """Of stretches (n, h) the sizes n, up to 62, and words of 64 bits in which those of h are set. They come to the driver, never more than BITS has."""
+    words = own.select("n", F.shiftright(F.col("h").bitwiseAND(F.lit(BITS - 1)), 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h & 63L as int)) AS b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b"), F.bit_or(F.expr("shiftleft(1L, n)")).alias("n")).toArrow()
+    mark = np.zeros(BITS // 64, np.int64)
+    mark[found["w"].to_numpy()] = found["b"].to_numpy()
+    # Few bits need few words: halves are laid over each other while under one bit in 256 is set.
+    while len(mark) > 1 and 4 * int(np.bitwise_count(mark).sum()) < len(mark):
+        mark = mark[: len(mark) // 2] | mark[len(mark) // 2 :]
+    sizes = int(np.bitwise_or.reduce(found["n"].to_numpy(), initial=0))
+    return [n for n in range(63) if sizes >> n & 1], mark
+
+
+def _marked(mark: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (k, h: array) a row (k, h) for each stretch whose bit is set: for all that some inner text has, and few others."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, stretches = batch.columns
+            h = stretches.flatten().to_numpy()
+            has = (mark[h >> 6 & len(mark) - 1] >> (h & 63) & 1).astype(bool)
+            rows = np.repeat(np.arange(len(k)), np.diff(stretches.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([k.take(pa.array(rows[has])), pa.array(h[has])], ["k", "h"])
+
+    return kept
 
 
 def within(outer: DataFrame, inner: DataFrame, group: str = "g", text: str = "t", gram: int = GRAM) -> DataFrame:
@@ -21,23 +53,25 @@ def within(outer: DataFrame, inner: DataFrame, group: str = "g", text: str = "t"
     groups and texts match nothing; an empty text is within every text. For
     texts such as addresses and names, as each gives a row for each stretch; for
     these rows joins sort and merge, as Spark would take them for as few as the
-    texts, and send them through the driver.
+    texts, and send them through the driver. Outer stretches that no inner text
+    has are left out before they are shuffled: bits of a fixed number tell most
+    of them, and the joins the rest.
     """
     known = lambda df: df.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(F.col(group).alias("g"), F.col(text).alias("t")).distinct().withColumn("k", F.unhex(F.md5(F.to_json(F.struct("g", "t")).cast("binary"))))
     outer, inner = known(outer), known(inner)
     size = F.least(F.length("t"), F.lit(gram))
-    # As many numbers as a stretch has characters, at most.
-    sizes = sorted(r.n for r in inner.select(size.alias("n")).distinct().collect())
 
     def stretches(q: Column) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.length("t") - q + 1, F.lit(1)))
-        return F.transform(at, lambda i: F.xxhash64("g", q, F.substring(F.col("t"), i, q)))
+        # The lowest bit parts the short ones from the others, so that each have bits of their own.
+        return F.transform(at, lambda i: F.shiftleft(F.xxhash64("g", q, F.substring(F.col("t"), i, q)), 1) + (q < gram).cast("long"))
 
+    own = inner.select("k", size.alias("n"), F.explode(F.array_distinct(stretches(size))).alias("h"))
+    sizes, mark = _marks(own)
     lengths = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda q: q <= F.length("t"))
-    held = outer.select("k", F.explode(F.array_distinct(F.flatten(F.transform(lengths, stretches)))).alias("h"))
+    held = outer.select("k", F.array_distinct(F.flatten(F.transform(lengths, stretches))).alias("h")).mapInArrow(_marked(mark), "k binary, h bigint")
     count = held.groupBy("h").agg(F.count("*").alias("n"))
-    own = inner.select("k", F.explode(F.array_distinct(stretches(size))).alias("h"))
-    rarest = own.join(count.hint("merge"), "h").groupBy("k").agg(F.min(F.struct("n", "h")).alias("least")).select(F.col("k").alias("inner_k"), F.col("least.h").alias("h"))
+    rarest = own.drop("n").join(count.hint("merge"), "h").groupBy("k").agg(F.min(F.struct("n", "h")).alias("least")).select(F.col("k").alias("inner_k"), F.col("least.h").alias("h"))
     met = held.join(rarest.hint("merge"), "h").select("k", "inner_k")
     pairs = met.join(outer.select("k", "g", F.col("t").alias("outer")).hint("merge"), "k").join(inner.select(F.col("k").alias("inner_k"), F.col("g").alias("inner_g"), F.col("t").alias("inner")).hint("merge"), "inner_k")
     return pairs.where((F.col("g") == F.col("inner_g")) & F.contains("outer", "inner")).select(F.col("g").alias(group), "outer", "inner")
