@@ -17,15 +17,16 @@ BITS = 1 << 27
 
 
 def _marks(own: DataFrame) -> tuple[list[int], np.ndarray]:
-    """Of stretches (n, h) the sizes n, up to 62, and words of 64 bits in which those of h are set. They come to the driver, never more than BITS has."""
-    words = own.select("n", F.shiftright(F.col("h").bitwiseAND(F.lit(BITS - 1)), 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h & 63L as int)) AS b"))
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b"), F.bit_or(F.expr("shiftleft(1L, n)")).alias("n")).toArrow()
+    """Of stretches (n, h) the sizes n, up to 62, and words of 64 bits in which those of h are set. They come to the driver by 4 kB, never more than BITS has."""
+    spot = F.col("h").bitwiseAND(F.lit(BITS - 1))
+    parts = own.groupBy(F.shiftright(spot, 15).alias("part")).agg(F.bitmap_construct_agg(spot.bitwiseAND(F.lit(32767))).alias("b"), F.bit_or(F.expr("shiftleft(1L, n)")).alias("n")).toArrow()
     mark = np.zeros(BITS // 64, np.int64)
-    mark[found["w"].to_numpy()] = found["b"].to_numpy()
+    for part, b in zip(parts["part"].to_pylist(), parts["b"]):
+        mark[part * 512 : part * 512 + 512] = np.frombuffer(b.as_buffer(), "<i8")
     # Few bits need few words: halves are laid over each other while under one bit in 256 is set.
     while len(mark) > 1 and 4 * int(np.bitwise_count(mark).sum()) < len(mark):
         mark = mark[: len(mark) // 2] | mark[len(mark) // 2 :]
-    sizes = int(np.bitwise_or.reduce(found["n"].to_numpy(), initial=0))
+    sizes = int(np.bitwise_or.reduce(parts["n"].to_numpy(), initial=0))
     return [n for n in range(63) if sizes >> n & 1], mark
 
 
