@@ -9,10 +9,10 @@ under the hash of its anchor. Successive windows with one anchor are a segment.
    at once and one of them goes on, so that copies don't pile up under a hash.
    Entries go to partitions by anchor, packed in columns.
 2. match: equal segments are settled by hash. Segments that differ under one
-   anchor can share windows only if they agree on the tokens to one side of the
-   anchor; representatives of those that do are asked for.
+   anchor can share windows only if they agree on most of a window around the
+   anchor, in one of four places; representatives of those that do are asked for.
 3. compare: the tokens asked for are taken from the texts and go to partitions
-   by anchor and side; there the operator's own method finds equal windows.
+   by what they agree on; there the operator's own method finds equal windows.
 4. The spans found go to the texts, which are cut as they stream by.
 
 Two rules: "earlier" covers windows that also start in a text with a smaller
@@ -32,6 +32,8 @@ from .common import once_per_process, slices, stored
 
 #: Tokens that are worked on at a time, entries that a task gathers before it settles and sends them.
 PIECE, GATHERED = 1 << 20, 1_500_000
+#: Tokens that are compared at a time; those of one key always are.
+COMPARED = 1 << 15
 #: Bytes of texts for each partition, by the size that Spark knows of.
 PARTITION_BYTES = 16 << 20
 #: From here on Spark's size of a table is a guess.
@@ -43,7 +45,10 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _OTHER = np.uint64(0xA24BAED4963EE407)
 
-ENTRY = np.dtype([("anchor", "<u8"), ("segment", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("start", "<u4"), ("before", "u1"), ("n", "u1"), ("twice", "u1")])
+#: Hashes of what lies around an anchor, by the side of it that has more; 0 where none of a segment's windows has the anchor in that place.
+AROUND = ("right", "more_right", "more_left", "left")
+
+ENTRY = np.dtype([("anchor", "<u8"), ("segment", "<u8"), *[(name, "<u2") for name in AROUND], ("doc", "<i8"), ("start", "<u4"), ("before", "u1"), ("n", "u1"), ("twice", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
 REQUEST = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("twice", "u1")])
 
@@ -57,15 +62,22 @@ class Shape:
     rule: str
 
     @property
-    def side(self) -> int:
-        """Of two windows with one anchor, equal ones agree on so many tokens before or after it."""
-        return (self.window - self.gram + 1) // 2
+    def places(self) -> list[tuple[int, int]]:
+        """The places that an anchor can have in a window, in as many ranges (first, last) as AROUND has names.
+
+        Equal windows with their anchor in such a range agree on the first
+        tokens before it, and on what a window has after it in the last place.
+        """
+        n, parts = self.window - self.gram + 1, len(AROUND)
+        return [(i * n // parts, (i + 1) * n // parts - 1) for i in range(parts)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(32))
-    x = x * _MIX
-    return x ^ (x >> np.uint64(29))
+    y = x >> np.uint64(32)
+    y ^= x
+    y *= _MIX
+    y ^= y >> np.uint64(29)
+    return y
 
 
 def _powers(n: int):
@@ -95,14 +107,22 @@ def segments(values: np.ndarray, piece: np.ndarray, allowed: np.ndarray, shape:
     if not len(starts):
         return {}
     power, inverse = _powers(total + 1)
-    prefix = np.zeros(total + 1, np.uint64)
-    np.cumsum(values * power[:total], out=prefix[1:])
+
+    def sums(x):
+        out = np.zeros(total + 1, np.uint64)
+        np.multiply(x, power[:total], out=out[1:])
+        return np.cumsum(out, out=out)
+
+    prefix = sums(values)
 
     def hashed(first, last):
         return (prefix[last] - prefix[first]) * inverse[first]
 
-    grams = mixed((prefix[k:] - prefix[:-k]) * inverse[: total - k + 1])
-    low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    grams = prefix[k:] - prefix[:-k]
+    grams *= inverse[: total - k + 1]
+    grams = mixed(grams)
+    low = grams & np.uint64(0xFFFFFFFF00000000)
+    low |= np.arange(len(grams), dtype=np.uint64)
     width, have = w - k + 1, 1
     while 2 * have <= width:
         low = np.minimum(low[:-have], low[have:])
@@ -118,21 +138,16 @@ def segments(values: np.ndarray, piece: np.ndarray, allowed: np.ndarray, shape:
     anchor = grams[place]
     own = piece[place]
     # From other integers for the tokens than the anchor's, so that its bits tell segments under one anchor apart.
-    other = np.zeros(total + 1, np.uint64)
-    np.cumsum(mixed(values ^ _OTHER) * power[:total], out=other[1:])
+    other = sums(mixed(values ^ _OTHER))
     whole = mixed((other[at + n - 1 + w] - other[at]) * inverse[at])
-    ok = place >= shape.side
-    ok[ok] = piece[place[ok] - shape.side] == own[ok]
-    left = np.zeros(len(at), np.uint16)
-    p = place[ok]
-    left[ok] = np.maximum(mixed(hashed(p - shape.side, p) + anchor[ok]) >> np.uint64(48), np.uint64(1))
-    far = place + k + shape.side
-    ok = far <= total
-    ok[ok] = piece[far[ok] - 1] == own[ok]
-    right = np.zeros(len(at), np.uint16)
-    p = place[ok] + k
-    right[ok] = np.maximum(mixed(hashed(p, p + shape.side) + anchor[ok]) >> np.uint64(48), np.uint64(1))
-    return {"at": at, "n": n, "before": before, "anchor": anchor, "segment": whole, "left": left, "right": right, "piece": own}
+    out = {"at": at, "n": n, "before": before, "anchor": anchor, "segment": whole, "piece": own}
+    for name, (first, last) in zip(AROUND, shape.places):
+        # Some window has its anchor there, so that the tokens around it are within the piece.
+        some = np.flatnonzero((before >= first) & (before - n < last)) if first <= last else np.empty(0, np.int64)
+        p = place[some]
+        out[name] = np.zeros(len(at), np.uint16)
+        out[name][some] = np.maximum(mixed(hashed(p - first, p + w - last)) >> np.uint64(48), np.uint64(1))
+    return out
 
 
 def pieces(tokens: list[np.ndarray], window: int):
@@ -166,7 +181,9 @@ def merged(spans: np.ndarray) -> np.ndarray:
     """Spans by text and start, overlapping and touching ones joined."""
     if not len(spans):
         return spans
-    spans = spans[np.lexsort((spans["start"], spans["doc"]))]
+    doc, start = spans["doc"], spans["start"]
+    if not ((doc[1:] > doc[:-1]) | ((doc[1:] == doc[:-1]) & (start[1:] >= start[:-1]))).all():
+        spans = spans[np.lexsort((start, doc))]
     doc = np.append(0, np.cumsum(spans["doc"][1:] != spans["doc"][:-1]))
     end = spans["end"].astype(np.int64) + (doc << 33)
     reach = np.maximum.accumulate(end)
@@ -183,22 +200,31 @@ def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def settle(entries: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """(entries that go on, spans covered by equal segments)."""
+    """(entries that go on, in the order in which they come, spans covered by equal segments)."""
     if not len(entries):
         return entries, np.empty(0, SPAN)
-    entries = entries[np.lexsort([entries[name] for name in ("start", "doc", "n", "before", "segment", "anchor")])]
-    new = np.append(True, (entries["anchor"][1:] != entries["anchor"][:-1]) | differ(entries[1:], entries[:-1]))
+    key = mixed(entries["anchor"] + mixed(entries["segment"] + (entries["before"].astype(np.uint64) << np.uint64(8)) + entries["n"]))
+    order = np.argsort(key)
+    new = np.append(True, np.diff(key[order]) != 0)
+    rest = np.flatnonzero(~new)
+    a, b = entries[order[rest]], entries[order[rest - 1]]
+    if ((a["anchor"] != b["anchor"]) | differ(a, b)).any():  # segments that differ have one key
+        order = np.lexsort([entries[name] for name in ("n", "before", "segment", "anchor")])
+        a, b = entries[order[1:]], entries[order[:-1]]
+        new = np.append(True, (a["anchor"] != b["anchor"]) | differ(a, b))
     at = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
     sizes = np.diff(np.append(at, len(entries)))
+    covered = np.zeros(len(entries), bool)
     if shape.rule == "earlier":
-        covered = entries["doc"] != entries["doc"][at][group]
+        doc = entries["doc"][order]
+        covered[order] = doc != np.repeat(np.minimum.reduceat(doc, at), sizes)
         left = entries[~covered]
     else:
-        several = np.logical_or.reduceat(entries["twice"] > 0, at) | (sizes > 1)
-        covered = several[group]
-        left = entries[at]
+        several = np.logical_or.reduceat(entries["twice"][order] > 0, at) | (sizes > 1)
+        covered[order] = np.repeat(several, sizes)
+        left = entries[order[at]]
         left["twice"] = several
+        left = left[np.argsort(order[at])]
     found = entries[covered]
     spans = np.empty(len(found), SPAN)
     spans["doc"], spans["start"], spans["end"] = found["doc"], found["start"], found["start"] + found["n"] - 1 + shape.window
@@ -207,7 +233,7 @@ def settle(entries: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
 
 def dealt(kind: int, rows: np.ndarray, bucket: np.ndarray, dtype: np.dtype):
     """(kind, bucket, blob) of rows; a blob holds each column in turn, so that like bytes lie together."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")  # quicker so
     rows, bucket = rows[order], bucket[order]
     at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
     for i, j in zip(at, np.append(at[1:], len(rows)) if len(at) else []):
@@ -248,7 +274,6 @@ def rows_out(rows):
 def _scanner(shape: Shape, tokenize, buckets: int):
     def send(gathered):
         left, spans = settle(np.concatenate(gathered), shape)
-        left = left[np.lexsort((left["start"], left["doc"]))]
         yield from rows_out([*dealt(0, left, bucket_of(left["anchor"], buckets), ENTRY), *dealt(1, spans, bucket_of(spans["doc"], buckets), SPAN)])
 
     def run(batches):
@@ -261,7 +286,7 @@ def _scanner(shape: Shape, tokenize, buckets: int):
                 if not found:
                     continue
                 entries = np.zeros(len(found["at"]), ENTRY)
-                for name in ("anchor", "segment", "left", "right", "before", "n"):
+                for name in ("anchor", "segment", *AROUND, "before", "n"):
                     entries[name] = found[name]
                 entries["doc"] = ids[text[found["piece"]]]
                 entries["start"] = found["at"] + shift[found["piece"]]
@@ -279,31 +304,36 @@ def _scanner(shape: Shape, tokenize, buckets: int):
 def requests(entries: np.ndarray, shape: Shape) -> np.ndarray:
     """Which segments' tokens are to be compared, and under which key.
 
-    entries: one or more of each segment, in order of anchor. A segment is
-    asked for under its anchor and left side, or right side, if another one
-    has the same.
+    entries: one or more of each segment. A segment is asked for under its
+    anchor and what lies around it in one of the places, if another one agrees
+    there, unless all that do agree in a place before.
     """
     out = []
-    for side, salt in (("left", 1), ("right", 2)):
-        rows = entries[entries[side] > 0]
+    for i, name in enumerate(AROUND):
+        rows = entries[entries[name] > 0]
         if len(rows) < 2:
             continue
-        key = mixed(rows["anchor"] + mixed(rows[side].astype(np.uint64) + np.uint64(salt << 32)))
-        order = np.lexsort((rows["segment"], key))
-        rows, key = rows[order], key[order]
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key = mixed(rows["anchor"] + mixed(rows[name].astype(np.uint64) + np.uint64((i + 1) << 32)))
+        order = np.argsort(key)
+        key = key[order]
+        new = np.append(True, np.diff(key) != 0)
+        alone = new & np.append(new[1:], True)
+        order, key = order[~alone], key[~alone]
+        if not len(order):
+            continue
+        rows = rows[order]
+        at = np.flatnonzero(np.append(True, np.diff(key) != 0))
         group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(rows))))
-        apart = differ(rows, rows[at][group])
-        wanted = np.logical_or.reduceat(apart, at)
-        if side == "right":  # segments with the same left side meet under that
-            wanted &= np.logical_or.reduceat((rows["left"] == 0) | (rows["left"] != rows["left"][at][group]), at)
+        wanted = np.logical_or.reduceat(differ(rows, rows[at][group]), at)
+        for earlier in AROUND[:i]:
+            wanted &= np.logical_or.reduceat((rows[earlier] == 0) | (rows[earlier] != rows[earlier][at][group]), at)
         if shape.rule == "earlier":
             wanted &= np.maximum.reduceat(rows["doc"], at) != np.minimum.reduceat(rows["doc"], at)
         rows, key = rows[wanted[group]], key[wanted[group]]
         asked = np.empty(len(rows), REQUEST)
         asked["key"] = key
-        for name in ("doc", "start", "n", "twice"):
-            asked[name] = rows[name]
+        for field in ("doc", "start", "n", "twice"):
+            asked[field] = rows[field]
         out.append(asked)
     return np.concatenate(out) if out else np.empty(0, REQUEST)
 
@@ -382,36 +412,50 @@ def _extractor(shape: Shape, tokenize, pack, buckets: int):
 def _comparer(shape: Shape, unpack, equal_windows, buckets: int):
     """equal_windows(segments) gives, for the windows of a list of token arrays in turn, a class that equal windows share."""
 
+    def compared(requests, segments):
+        """Spans covered of some requests, none of which comes twice, and their tokens."""
+        asked = np.array(requests, REQUEST)
+        classes = equal_windows(segments)
+        n = asked["n"].astype(np.int64)
+        owner = np.repeat(np.arange(len(asked)), n)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        doc = asked["doc"][owner]
+        if shape.rule == "earlier":
+            least = np.full(classes.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, classes, doc)
+            covered = doc > least[classes]
+        else:
+            covered = np.bincount(classes, 1.0 + asked["twice"][owner])[classes] > 1
+        spans = np.empty(int(covered.sum()), SPAN)
+        spans["doc"] = doc[covered]
+        spans["start"] = asked["start"][owner][covered] + offset[covered]
+        spans["end"] = spans["start"] + shape.window
+        return merged(spans)
+
     def run(batches):
         for _, rows in by_bucket(batches):
-            found, parts, seen = [], [], set()
+            found, parts = [], []
             for row in rows:
                 data, at = row[3], 0
                 while at < len(data):
                     r = np.frombuffer(data, REQUEST, 1, at)[0]
                     at += REQUEST.itemsize
                     tokens, at = unpack(data, at, int(r["n"]) - 1 + shape.window)
-                    if (place := (int(r["doc"]), int(r["start"]))) not in seen:
-                        seen.add(place)
-                        found.append(r)
-                        parts.append(tokens)
-            asked = np.array(found, REQUEST)
-            classes = equal_windows(parts)
-            n = asked["n"].astype(np.int64)
-            owner = np.repeat(np.arange(len(asked)), n)
-            offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            doc = asked["doc"][owner]
-            if shape.rule == "earlier":
-                least = np.full(classes.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(least, classes, doc)
-                covered = doc > least[classes]
-            else:
-                covered = np.bincount(classes, 1.0 + asked["twice"][owner])[classes] > 1
-            spans = np.empty(int(covered.sum()), SPAN)
-            spans["doc"] = doc[covered]
-            spans["start"] = asked["start"][owner][covered] + offset[covered]
-            spans["end"] = spans["start"] + shape.window
-            spans = merged(spans)
+                    found.append(r)
+                    parts.append(tokens)
+            spans, some, seen, size = [], [], set(), 0
+            order = np.argsort(np.array(found, REQUEST)["key"], kind="stable").tolist()
+            for i, following in zip(order, [*order[1:], None]):
+                r = found[i]
+                if (place := (int(r["doc"]), int(r["start"]))) not in seen:
+                    seen.add(place)
+                    some.append(i)
+                    size += len(parts[i])
+                # Equal windows meet under one key, so that keys can be taken a few at a time, which sort quicker.
+                if following is None or size >= COMPARED and found[following]["key"] != r["key"]:
+                    spans.append(compared([found[j] for j in some], [parts[j] for j in some]))
+                    some, seen, size = [], set(), 0
+            spans = merged(np.concatenate(spans))
             yield from rows_out(dealt(1, spans, bucket_of(spans["doc"], buckets), SPAN))
 
     return run
