@@ -5,36 +5,39 @@ other and that has 24 characters or more, or if twice the characters of their
 matching blocks are 0.86 of the characters of both. Matching blocks are the
 longest common run, and those to its left and right, again and again.
 
-Only texts that may be near meet. If a ratio r of T characters matches, at most
-(1-r)T characters don't, which cut the matches into one block more at most; so
-the texts share at least (1.5r-1)T-1 pairs of neighbouring characters, counted
-with repeats (rT/2 characters, for texts too short for pairs to tell). Texts
-whose lengths allow that ratio meet by the rarest of their pairs, as many as
-leave too few others; what meets is held to the number shared, and only then
-matched.
+A group's texts are compared in one task, those of a large group in blocks, each
+two of which are a task's work: a task holds two blocks, whatever the group's
+size, and only large groups are sent more than once. Within a task most pairs
+are told apart by counts of characters, which bound what matches and what one
+text can hold of the other, then by counts of neighbouring characters: if a
+ratio r of T characters matches, at most (1-r)T characters don't, which cut the
+matches into one block more at most, so that (1.5r-1)T-1 pairs of neighbours are
+in both. A longest common subsequence, of which matching blocks are one, bounds
+what is left, and only then texts are matched. Work grows with the square of a
+group's texts, as all pairs are asked for.
 
 Null texts count as empty; empty ones are near each other only. Null groups are
 groups. Texts that agree are matched once, whatever their number.
 
-Joins sort and merge both sides: Spark takes a table of stretches for as small
-as the texts' file, and would send it whole through the driver.
+Joins sort and merge both sides, so that no table goes through the driver.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructType
+from pyspark.sql.types import StructType
 
 from .folds import fold
-from .matching import within
 
 #: Characters from which a text within another is near it; ratio of matching characters.
 CONTAINED, RATIO = 24, 0.86
-#: Texts of up to SHORT characters meet by characters, those of LEAST or more by pairs; texts near LEAST do both.
-LEAST, SHORT = 6, 8
+#: Texts and characters of a block of a large group, one text at least.
+TEXTS, CHARACTERS = 512, 1 << 20
 
 BLANKS = r"[\s\x1c-\x1f\x85\xa0  -     　]+"
 
@@ -74,66 +77,80 @@ def _merged(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def _grams(texts: DataFrame, q: int) -> DataFrame:
-    """(k, g, n, s): a row for each stretch of q characters of each text, those like each other numbered, so that sets of them count repeats."""
-    places = F.sequence(F.lit(1), F.greatest(F.length("t") - q + 1, F.lit(1)))
-    some = texts.select("k", "g", "n", F.explode(F.transform(places, lambda i: F.substring(F.col("t"), i, F.lit(q)))).alias("s")).where(F.length("s") == q)
-    counted = some.groupBy("k", "g", "n", "s").agg(F.count("*").alias("c"))
-    return counted.select("k", "g", "n", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("c")), lambda j: F.xxhash64(F.lit(q), "s", j))).alias("s"))
-
-
-def _needed(total: Column, q: int, ratio: float) -> Column:
-    """How many stretches two texts of so many characters share at least; rounding is on the safe side."""
-    return F.ceil(total * (ratio / 2 - (1 - ratio) * (q - 1)) - (q - 1) - 1e-6)
-
-
-def _candidates(texts: DataFrame, q: int, ratio: float) -> DataFrame:
-    """(a, b): texts that share enough stretches. texts: (k, g, t, n)."""
-    each = _grams(texts, q)
-    count = each.groupBy(F.col("g").alias("cg"), F.col("s").alias("cs")).agg(F.count("*").alias("held"))
-    shortest = F.col("n") * (1 + ratio / (2 - ratio))  # characters of both, if the other is as short as it may be
-    keep = F.greatest(F.lit(1), F.col("size") - F.greatest(F.lit(1), _needed(shortest, q, ratio)) + 1).cast("int")
-    ordered = each.join(_merged(count), F.col("g").eqNullSafe(F.col("cg")) & (F.col("s") == F.col("cs"))).groupBy("k", "g", "n").agg(F.array_sort(F.collect_list(F.struct("held", "s"))).alias("o")).withColumn("size", F.size("o"))
-    signed = ordered.select("k", "g", "n", F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["s"])).alias("s"))
-    a, b = (signed.select(F.col("g").alias(f"{x}g"), "s", F.col("k").alias(x), F.col("n").alias(f"{x}n")) for x in "ab")
-    both = F.col("an") + F.col("bn")
-    met = a.join(_merged(b), "s").where(F.col("ag").eqNullSafe(F.col("bg")) & (F.struct("an", "a") < F.struct("bn", "b")) & (2 * F.col("an") >= ratio * both - 1e-6)).select("a", "b", both.alias("both")).distinct()
-    held = lambda x: _merged(ordered.select(F.col("k").alias(x), F.transform("o", lambda z: z["s"]).alias(f"{x}_grams")))
-    shared = F.size(F.array_intersect("a_grams", "b_grams"))
-    return met.join(held("a"), "a").join(held("b"), "b").where(shared >= _needed(F.col("both"), q, ratio)).select("a", "b")
-
-
-@F.arrow_udf(BooleanType())
-def _matched(a: pa.Array, b: pa.Array, ratio: pa.Array) -> pa.Array:
-    return pa.array([2 * matching(x, y) >= r * (len(x) + len(y)) for x, y, r in zip(a.to_pylist(), b.to_pylist(), ratio.to_pylist())], pa.bool_())
-
-
-def near_texts(df: DataFrame, group: str, text: str, contained: int = CONTAINED, ratio: float = RATIO) -> DataFrame:
-    """(g, x, y): near pairs of different plain texts of a group, both ways."""
-    texts = df.select(F.col(group).alias("g"), plain(F.col(text)).alias("t")).distinct().where("t <> ''").withColumn("k", F.unhex(F.md5(F.to_json(F.struct("g", "t")).cast("binary")))).withColumn("n", F.length("t"))
-    met = _candidates(texts.where(F.col("n") >= LEAST), 2, ratio).unionByName(_candidates(texts.where(F.col("n") <= SHORT), 1, ratio)).distinct()
-    named = lambda x: _merged(texts.select(F.col("k").alias(x), F.col("g").alias(f"{x}g"), F.col("t").alias(f"{x}t")))
-    pairs = met.join(named("a"), "a").join(named("b"), "b")
-    first = F.struct(F.length("at"), "at") < F.struct(F.length("bt"), "bt")
-    pairs = pairs.where(_matched(F.when(first, F.col("at")).otherwise(F.col("bt")), F.when(first, F.col("bt")).otherwise(F.col("at")), F.lit(float(ratio))))
-    by_ratio = pairs.select(F.col("ag").alias("g"), F.col("at").alias("x"), F.col("bt").alias("y"))
-    # A null group is looked up under a name of its own.
-    keyed = texts.withColumn("h", F.coalesce(F.concat(F.lit("g"), F.col("g").cast("string")), F.lit("")))
-    held = within(keyed, keyed.where(F.col("n") >= contained), "h", "t").where("outer <> inner").join(_merged(keyed.select("h", F.col("t").alias("inner"), "g")), ["h", "inner"]).select("g", F.col("inner").alias("x"), F.col("outer").alias("y"))
-    ways = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
-    return by_ratio.unionByName(held).select("g", F.inline(ways)).distinct()
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _common(masks: dict[str, int], n: int, other: str) -> int:
+    """Characters of the longest common subsequence of a text of n characters, given by its places of each character as bits, and another."""
+    every = left = (1 << n) - 1
+    for c in other:
+        both = left & masks.get(c, 0)
+        left = (left + both | left - both) & every
+    return n - left.bit_count()
+
+
+def near_pairs(texts: list[str], blocks: list[int], contained: int = CONTAINED, ratio: float = RATIO) -> Iterator[tuple[int, int]]:
+    """Places of near texts among different plain ones that aren't empty; of two blocks, pairs of one text of each only."""
+    order = sorted(range(len(texts)), key=lambda i: (len(texts[i]), texts[i]))
+    length, block = np.array([len(texts[i]) for i in order]), np.array([blocks[i] for i in order])
+    two = len(set(blocks)) > 1
+    codes = [_codes(texts[i]) for i in order]
+    # Counts of characters, and of pairs of neighbours, some of which fall together: what texts share of these is no less.
+    ones = np.array([np.bincount(x & 63, minlength=64) for x in codes], np.int32)
+    pairs = np.array([np.bincount(x[:-1] * np.uint32(37) + x[1:] & 255, minlength=256) for x in codes], np.int32)
+    for last in range(1, len(order)):
+        b, both = texts[order[last]], length[:last] + length[last]
+        shared = np.minimum(ones[:last], ones[last]).sum(1)
+        held = (shared == length[:last]) & (length[:last] >= contained)
+        may = np.flatnonzero((held | (2 * shared >= ratio * both)) & ((block[:last] != block[last]) | (not two)))
+        if not len(may):
+            continue
+        needed = both[may] * (1.5 * ratio - 1) - 1
+        alike = (2 * shared[may] >= ratio * both[may]) & (np.minimum(pairs[may], pairs[last]).sum(1) >= np.ceil(needed - 1e-6))
+        masks: dict[str, int] = {}
+        for first, holds, matches in zip(may.tolist(), held[may].tolist(), alike.tolist()):
+            a = texts[order[first]]
+            if holds and a in b:
+                yield order[first], order[last]
+            elif matches:
+                least = math.ceil(ratio * (len(a) + len(b)) / 2 - 1e-6)
+                if not masks:
+                    for at, c in enumerate(b):
+                        masks[c] = masks.get(c, 0) | 1 << at
+                if _common(masks, len(b), a) >= least and 2 * matching(a, b) >= ratio * (len(a) + len(b)):
+                    yield order[first], order[last]
+
+
+def near_texts(texts: DataFrame, contained: int = CONTAINED, ratio: float = RATIO) -> DataFrame:
+    """(k, p): the p of each text that is near the one of key k. texts: (g, k, p, t), of each group different plain texts that aren't empty."""
+    size = texts.groupBy(F.col("g").alias("sg")).agg(F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum(F.length("t")) / CHARACTERS)).cast("int").alias("blocks"))
+    placed = texts.join(_merged(size), F.col("g").eqNullSafe(F.col("sg"))).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))
+    dealt = placed.select("g", "k", "p", "t", "block", F.inline(every))
+
+    def step(held: list, row: dict):
+        held.append(row)
+        return ()
+
+    def end(held: list):
+        if held[0]["i"] != held[0]["j"] and len({row["block"] for row in held}) < 2:
+            return
+        for x, y in near_pairs([row["t"] for row in held], [row["block"] for row in held], contained, ratio):
+            yield held[x]["k"], held[y]["p"]
+            yield held[y]["k"], held[x]["p"]
+
+    kind = dict(texts.dtypes)["p"]
+    return fold(dealt, ["g", "i", "j"], [], StructType.fromDDL(f"k binary, p {kind}"), lambda key: [], step, end)
 
 
 def without_near(df: DataFrame, group: str, place: str, text: str, contained: int = CONTAINED, ratio: float = RATIO) -> DataFrame:
     """(group, place, kept, near): rows of a group in order of place; a row is kept unless a kept one before it is near. near: the places before it of rows near it."""
-    rows = df.select(F.col(group).alias("g"), F.col(place).alias("p"), plain(F.col(text)).alias("t"))
-    links = near_texts(df, group, text, contained, ratio)
+    rows = df.select(F.col(group).alias("g"), F.col(place).alias("p"), plain(F.col(text)).alias("t")).withColumn("k", F.unhex(F.md5(F.to_json(F.struct("g", "t")).cast("binary"))))
     # Of rows that agree only the first can be kept, so that it stands for all of them.
-    first = rows.groupBy("g", "t").agg(F.min("p").alias("p"))
-    x, y = (first.select(F.col("g").alias(f"{c}g"), F.col("t").alias(f"{c}t"), F.col("p").alias(f"{c}p")) for c in "xy")
-    met = links.join(_merged(x), F.col("g").eqNullSafe(F.col("xg")) & (F.col("x") == F.col("xt"))).join(_merged(y), F.col("g").eqNullSafe(F.col("yg")) & (F.col("y") == F.col("yt")))
-    before = met.groupBy("yg", "yt").agg(F.array_sort(F.collect_set("xp")).alias("others"))
-    joined = rows.join(_merged(first.select(F.col("g").alias("fg"), F.col("t").alias("ft"), F.col("p").alias("fp"))), F.col("g").eqNullSafe(F.col("fg")) & (F.col("t") == F.col("ft"))).join(_merged(before), F.col("g").eqNullSafe(F.col("yg")) & (F.col("t") == F.col("yt")), "left")
+    first = rows.groupBy("g", "k").agg(F.min("p").alias("p"), F.any_value("t").alias("t"))
+    before = near_texts(first.where("t <> ''"), contained, ratio).groupBy(F.col("k").alias("yk")).agg(F.array_sort(F.collect_set("p")).alias("others"))
+    joined = rows.select("g", "p", "k").join(_merged(first.select(F.col("k").alias("fk"), F.col("p").alias("fp"))), F.col("k") == F.col("fk")).join(_merged(before), F.col("k") == F.col("yk"), "left")
     same = F.when(F.col("fp") < F.col("p"), F.array("fp"))
     others = F.filter(F.coalesce("others", F.array().cast(before.schema["others"].dataType)), lambda o: o < F.col("p"))
     ready = joined.select("g", "p", F.array_sort(F.concat(F.coalesce(same, F.array().cast(before.schema["others"].dataType)), others)).alias("near"))
