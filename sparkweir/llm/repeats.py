@@ -232,12 +232,12 @@ def settle(entries: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dealt(kind: int, rows: np.ndarray, bucket: np.ndarray, dtype: np.dtype):
-    """(kind, bucket, blob) of rows; a blob holds each column in turn, so that like bytes lie together."""
+    """(kind, bucket, blob) of rows; a blob holds each byte of each column in turn, so that like bytes lie together and compress."""
     order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")  # quicker so
     rows, bucket = rows[order], bucket[order]
     at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
     for i, j in zip(at, np.append(at[1:], len(rows)) if len(at) else []):
-        yield kind, int(bucket[i]), b"".join(np.ascontiguousarray(rows[name][i:j]).tobytes() for name in dtype.names)
+        yield kind, int(bucket[i]), b"".join(np.ascontiguousarray(rows[name][i:j]).view(np.uint8).reshape(j - i, -1).T.tobytes() for name in dtype.names)
 
 
 def undealt(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
@@ -247,7 +247,7 @@ def undealt(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
         rows, at = np.empty(n, dtype), 0
         for name in dtype.names:
             size = dtype[name].itemsize * n
-            rows[name] = np.frombuffer(blob[at : at + size], dtype[name])
+            rows[name] = np.ascontiguousarray(np.frombuffer(blob, np.uint8, size, at).reshape(dtype[name].itemsize, n).T).view(dtype[name]).reshape(n)
             at += size
         parts.append(rows)
     return np.concatenate(parts) if parts else np.empty(0, dtype)
